@@ -25,23 +25,30 @@ def key_profile(rows: DataFrame, key: str, distinct: dict[str, list[str]], means
     """key, rows, one distinct count for each entry of distinct, one mean for each of means, total.
 
     distinct: name of a count -> columns whose combinations are counted; combinations with a null
-    are not counted. means: name of a mean -> column; nulls are left out, and a mean of nothing is null.
-    total counts the rows of all keys. Rows with a null key count in total but have no result.
-    rows should hold each row once; see distinct_rows.
+    are not counted. The sets of columns must contain one another, so that each level of aggregation goes on
+    from the one before and rows are read once. means: name of a mean -> column; nulls are left out, and a
+    mean of nothing is null. total counts the rows of all keys. Rows with a null key count in total but
+    have no result. rows should hold each row once; see distinct_rows.
     """
-    sums = [F.sum(c).alias(f"__s_{n}") for n, c in means.items()] + [F.count(c).alias(f"__c_{n}") for n, c in means.items()]
-    out = rows.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("rows"), *sums)
-    total = out.agg(F.sum("rows").alias("total"))
-    out = out.where(F.col("__key").isNotNull())
-    for name, columns in distinct.items():
-        whole = rows.where(F.col(key).isNotNull())
+    levels = sorted(distinct.items(), key=lambda d: -len(d[1]))
+    for (_, more), (_, fewer) in zip(levels, levels[1:]):
+        if not set(fewer) <= set(more):
+            raise ValueError("the columns of distinct counts must contain one another")
+    sums = {f"__s_{n}": F.sum(c) for n, c in means.items()} | {f"__c_{n}": F.count(c) for n, c in means.items()}
+    state = {"rows": F.count(F.lit(1))} | sums
+    out = rows.withColumn("__key", F.col(key))
+    for name, columns in levels:
+        out = out.groupBy("__key", *columns).agg(*[v.alias(n) for n, v in state.items()])
+        whole = F.lit(True)
         for c in columns:
-            whole = whole.where(F.col(c).isNotNull())
-        once = whole.groupBy(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
-        out = out.join(once.groupBy("__key").agg(F.count(F.lit(1)).alias(name)), "__key", "left")
+            whole = whole & F.col(c).isNotNull()
+        state = {n: F.sum(n) for n in state} | {name: F.count_if(whole)}
+    out = out.groupBy("__key").agg(*[v.alias(n) for n, v in state.items()])
+    total = out.agg(F.sum("rows").alias("total"))
     average = [(F.col(f"__s_{n}") / F.col(f"__c_{n}")).alias(n) for n in means]
-    counts = [F.coalesce(F.col(n), F.lit(0)).alias(n) for n in distinct]
-    return out.crossJoin(F.broadcast(total)).select(F.col("__key").alias(key), "rows", *counts, *average, "total")  # total is one row
+    # The condition on the key names a count as well, so that both uses of the aggregate stay one plan.
+    known = F.when(F.col("rows") > 0, F.col("__key")).isNotNull()
+    return out.crossJoin(F.broadcast(total)).where(known).select(F.col("__key").alias(key), "rows", *distinct, *average, "total")  # total is one row
 
 
 def heavy(profile: DataFrame, share: float | Column = 1 / 50) -> DataFrame:

@@ -11,17 +11,21 @@ from ..session import table
 _KEY = ["scene", "recon", "image_id", "idx"]
 
 
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct observations."""
+    return distinct_rows(table(spark, sf_dir, "observation"), [*_KEY, "name"], ["x", "y", "point3d_id"])
+
+
 def observation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, rows, scenes, points, mean_x, mean_y, total over distinct observations. A point3d_id of -1 is no point."""
-    rows = distinct_rows(table(spark, sf_dir, "observation"), [*_KEY, "name"], ["x", "y", "point3d_id"])
-    rows = rows.withColumn("point", F.when(F.col("point3d_id") >= 0, F.col("point3d_id")))
+    rows = observations(spark, sf_dir).withColumn("point", F.when(F.col("point3d_id") >= 0, F.col("point3d_id")))
     return key_profile(rows, "name", {"scenes": ["scene"], "points": ["scene", "recon", "point"]}, {"mean_x": "x", "mean_y": "y"})
 
 
-def entry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, rows, scenes, total over distinct (sample_uid, key of imgs) entries."""
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (sample_uid, key of imgs) entries."""
     rows = table(spark, sf_dir, "sampled_case").select("sample_uid", "scene", F.explode(F.map_keys("imgs")).alias("name"))
-    return key_profile(distinct_rows(rows, ["sample_uid", "name"], ["scene"]), "name", {"scenes": ["scene"]}, {})
+    return distinct_rows(rows, ["sample_uid", "name"], ["scene"])
 
 
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +36,14 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results per name of the entries of sampled_case.imgs, for all names."""
-    return entry_profile(spark, sf_dir).select("name", "rows", "scenes")
+    return key_profile(entries(spark, sf_dir), "name", {"scenes": ["scene"]}, {}).select("name", "rows", "scenes")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with more than 1/50 of all distinct observations or entries."""
-    observations = heavy(observation_profile(spark, sf_dir)).select(F.lit("observation").alias("table_name"), "name")
-    entries = heavy(entry_profile(spark, sf_dir)).select(F.lit("sampled_case").alias("table_name"), "name")
-    return observations.unionAll(entries)
+    seen = heavy(key_profile(observations(spark, sf_dir), "name", {}, {})).select(F.lit("observation").alias("table_name"), "name")
+    sampled = heavy(key_profile(entries(spark, sf_dir), "name", {}, {})).select(F.lit("sampled_case").alias("table_name"), "name")
+    return seen.unionAll(sampled)
 
 
 QUERIES = {"p5_found": p5_found, "p5_profile": p5_profile, "p5_entries": p5_entries}
