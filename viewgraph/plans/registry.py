@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import heavy_names
+from . import cameras, depth, graphs, heavy_names, streams
 
-_MODULES = [heavy_names]
+_MODULES = [graphs, cameras, depth, heavy_names, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
