@@ -133,9 +133,12 @@ def array_blob(dtype: str):
 
 def match_pairs(data: Column) -> Column:
     """A list of matches (uint32, two columns) as an array of (i, j)."""
-    flat = blob_array("<u4", "long")(data)
-    at = F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1)
-    return F.when(F.size(flat) > 0, F.transform(at, lambda k: F.struct(F.get(flat, 2 * k).alias("i"), F.get(flat, 2 * k + 1).alias("j"))))
+
+    def decode(blobs: pd.Series) -> pd.Series:
+        pairs = (None if b is None else np.frombuffer(b, "<u4").reshape(-1, 2).tolist() for b in blobs)
+        return pd.Series([None if p is None else [{"i": i, "j": j} for i, j in p] for p in pairs], dtype=object)
+
+    return F.pandas_udf(decode, "array<struct<i: long, j: long>>")(data)
 
 
 def create(path: str) -> sqlite3.Connection:
