@@ -14,17 +14,13 @@ the rest to it. Thus the result is exact for every shape of graph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import mark_of_links, minimum_propagation
 from ..scale import Workspace, Written, attach, small
 
 
-def _mark() -> Column:
-    """Order-free mark of a table of links, by which a round without change is seen."""
-    return F.bit_xor(F.xxhash64("src", "dst"))
-
-
 def consolidate(links: DataFrame, src: str = "src", dst: str = "dst", graph_cols: tuple[str, ...] = (), max_peel_rounds: int = 10) -> DataFrame:
     """One row per linked name: graph_cols, name, group_name (the smallest name of its group).
 
@@ -92,36 +88,13 @@ def _rest(space: Workspace, links: DataFrame, reached: Written | None, ended: bo
     """The links outside what was reached; if paths have not ended, also those that lead out of it."""
     one_way = links.where(F.col("src") > F.col("dst"))
     if reached is None:
-        return space.write(one_way, _mark())
+        return space.write(one_way, mark_of_links())
     if ended:
         gone = small(reached.df.select(F.col("id").alias("src")), reached.rows)
-        return space.write(one_way.join(gone, "src", "left_anti"), _mark())
+        return space.write(one_way.join(gone, "src", "left_anti"), mark_of_links())
     seed = reached.df
     for end in ("src", "dst"):
         known = small(seed.select(F.col("id").alias(end), F.col("seed").alias(f"{end}_seed")), reached.rows)
         one_way = one_way.join(known, end, "left").withColumn(end, F.coalesce(f"{end}_seed", end)).drop(f"{end}_seed")
     ends = one_way.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    return space.write(ends.distinct(), _mark())
-
-
-def minimum_propagation(space: Workspace, links: Written) -> Written:
-    """(src, dst): each vertex with a link, but for the least of its component, with that least one.
-
-    links: distinct rows with src > dst. In each round every vertex hands the least vertex near
-    it to its greater neighbours, then to the smaller ones and itself. That keeps components as
-    they are and shortens paths to a logarithm of rounds. Rounds end when the links stay the same.
-    """
-    now = links
-    while now.rows:
-        there = now.df.unionAll(now.df.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = there.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = there.join(least, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        floor = large.groupBy("src").agg(F.min("dst").alias("m"))
-        below = large.join(floor, "src").where(F.col("dst") != F.col("m")).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        after = space.write(below.unionAll(floor.withColumnRenamed("m", "dst")).distinct(), _mark())
-        same = (after.rows, after.mark) == (now.rows, now.mark)
-        now.drop()
-        now = after
-        if same:
-            break
-    return now
+    return space.write(ends.distinct(), mark_of_links())

@@ -92,7 +92,7 @@ def union_find(space: Workspace, links: Written, parts: int | None = None) -> Wr
         resolved = attach(level.df, above, "root", level.rows, "left").select("id", F.coalesce("top", "root").alias("root"))
         labels = space.write(resolved.unionAll(labels.df))
     if labels is None or every is None:
-        return links
+        return Written(links.df.select(F.col("src").alias("id"), F.col("dst").alias("root")), "", 0, 0)
     roots = every.df.select("id").join(labels.df.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
     return Written(labels.df.unionAll(roots), "", every.rows, 0)
 
