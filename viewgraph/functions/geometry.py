@@ -199,23 +199,29 @@ def apply_similarity(scale: Column, rotation: Column, translation: Column, p: Co
 # Errors of relative poses, in degrees
 
 
-def rotation_error(gt: Column, pred: Column) -> Column:
-    """Angle between two 3x3 rotations: acos(1 - 2 max(1 - (q q')^2, eps)) of their quaternions, whose squared
-    product is a quarter of 1 plus the trace of one rotation by the other's inverse."""
-    trace = dot(vector(gt, 9), vector(pred, 9))
+def angle_of_trace(trace: Column) -> Column:
+    """Angle of a rotation with a trace: acos(1 - 2 max(1 - q^2, eps)), as q^2 of its quaternion is (trace + 1) / 4."""
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), 1 - 2 * F.greatest(1 - (trace + 1) / 4, F.lit(EPS)))))
 
 
-def translation_error(gt: Column, pred: Column) -> Column:
-    """Angle between two directions or their opposites, 0 to 90; 1e6 radians in degrees where it is not finite."""
-    a, b = vector(gt, 3), vector(pred, 3)
-    na, nb = norm(a) + EPS, norm(b) + EPS
-    cosine = dot([x / na for x in a], [x / nb for x in b])
+def rotation_error(gt: Column, pred: Column) -> Column:
+    """Angle between two 3x3 rotations."""
+    return angle_of_trace(dot(vector(gt, 9), vector(pred, 9)))
+
+
+def direction_angle(cosine: Column) -> Column:
+    """Angle of two directions or their opposites by their cosine, 0 to 90; 1e6 radians in degrees where it is not finite."""
     angle = F.acos(F.sqrt(1 - F.greatest(1 - cosine * cosine, F.lit(EPS))))
     angle = F.degrees(F.when(F.isnan(angle) | (F.abs(angle) == float("inf")), F.lit(1e6)).otherwise(angle))
     return F.least(angle, F.abs(180 - angle))
 
 
+def translation_error(gt: Column, pred: Column) -> Column:
+    """Angle between two translations up to sign; 90 where one is zero."""
+    a, b = vector(gt, 3), vector(pred, 3)
+    return direction_angle(dot(a, b) / ((norm(a) + EPS) * (norm(b) + EPS)))
+
+
 # Intrinsics (3x3)
 
 

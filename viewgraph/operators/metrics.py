@@ -14,15 +14,25 @@ THRESHOLDS = (5, 15, 30)
 def pose_pairs(poses: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
     """keys, i < j, r_error, t_error in degrees for all pairs of frames of a sequence.
 
-    poses: keys, frame, gt, pred as world-to-camera 4x4 (16 doubles). Frames without either are left out."""
+    poses: keys, frame, gt, pred as world-to-camera 4x4 (16 doubles). Frames without either are left out.
+    What a pair needs is prepared per frame: the turn m = pred' gt and both camera centres. The trace of the
+    relative rotations' difference is the product of two m, and relative translations are differences of
+    centres, turned by the second frame; so a pair costs some forty multiplications.
+    """
     whole = poses.where(F.col("gt").isNotNull() & F.col("pred").isNotNull())
-    a = whole.select(*keys, F.col(frame).alias("i"), F.col("gt").alias("gi"), F.col("pred").alias("pi"))
-    b = whole.select(*keys, F.col(frame).alias("j"), F.col("gt").alias("gj"), F.col("pred").alias("pj"))
-    both = a.join(b, keys).where("i < j")
-    rel = both.select(*keys, "i", "j", g.relative_pose(F.col("gi"), F.col("gj")).alias("gt"), g.relative_pose(F.col("pi"), F.col("pj")).alias("pred"))
-    r = g.rotation_error(g.rotation_of(F.col("gt")), g.rotation_of(F.col("pred")))
-    t = g.translation_error(g.translation_of(F.col("gt")), g.translation_of(F.col("pred")))
-    return rel.select(*keys, "i", "j", r.alias("r_error"), t.alias("t_error"))
+    turn = g.multiply(g.transpose(g.rotation_of(F.col("pred"))), g.rotation_of(F.col("gt")))
+    per = whole.select(*keys, F.col(frame).alias("f"), turn.alias("m"), g.camera_center(F.col("gt")).alias("c"), g.camera_center(F.col("pred")).alias("d"))
+    both = per.toDF(*keys, "i", "mi", "ci", "di").join(per.toDF(*keys, "j", "mj", "cj", "dj"), keys).where("i < j")
+    vec = lambda c, n: g.vector(F.col(c), n)
+    trace = g.dot(vec("mi", 9), vec("mj", 9))
+    gt = [x - y for x, y in zip(vec("ci", 3), vec("cj", 3))]
+    pred = [x - y for x, y in zip(vec("di", 3), vec("dj", 3))]
+    m = vec("mj", 9)
+    turned = [g.dot([m[3 * r + k] for k in range(3)], gt) for r in range(3)]
+    pairs = both.select(*keys, "i", "j", trace.alias("trace"), g.dot(turned, pred).alias("p"), g.norm(gt).alias("ng"), g.norm(pred).alias("np"))
+    r = g.angle_of_trace(F.col("trace"))
+    t = g.direction_angle(F.col("p") / ((F.col("ng") + g.EPS) * (F.col("np") + g.EPS)))
+    return pairs.select(*keys, "i", "j", r.alias("r_error"), t.alias("t_error"))
 
 
 def accuracy(error: Column, threshold: float) -> Column:

@@ -12,6 +12,7 @@ def local_session(cores: int | str = 8, app: str = "viewgraph", **conf) -> Spark
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "12g",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): str(v) for k, v in conf.items()}
