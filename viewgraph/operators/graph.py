@@ -47,16 +47,18 @@ def nodes_of(edges: DataFrame, keys: list[str] = ["scene", "recon"]) -> DataFram
 
 def induced(edges: DataFrame, nodes: DataFrame, keys: list[str] = ["scene", "recon"]) -> DataFrame:  # noqa: B006
     """Edges with both ends among nodes (keys, id)."""
+    columns = edges.columns
     for end in ("src", "dst"):
         edges = edges.join(nodes.select(*keys, F.col("id").alias(end)), [*keys, end], "left_semi")
-    return edges
+    return edges.select(*columns)
 
 
 def without(edges: DataFrame, nodes: DataFrame, keys: list[str] = ["scene", "recon"]) -> DataFrame:  # noqa: B006
     """Edges with no end among nodes (keys, id)."""
+    columns = edges.columns
     for end in ("src", "dst"):
         edges = edges.join(nodes.select(*keys, F.col("id").alias(end)), [*keys, end], "left_anti")
-    return edges
+    return edges.select(*columns)
 
 
 def co_observation(observed: DataFrame, keys: list[str], image: str, point: str, least: int = 1, edges: DataFrame | None = None) -> DataFrame:

@@ -100,8 +100,9 @@ def reconstruction_summary(accuracy_nn: DataFrame, completion_nn: DataFrame, key
 
 
 def depth_scale(pairs: DataFrame, keys: list[str], method: str, rounds: int = 10) -> DataFrame:
-    """keys, s, t so that s * pred + t fits gt: none, median, lstsq, or irls (least absolute scale by
-    reweighting, starting from the ratio of means)."""
+    """keys, s, t so that s * pred + t fits gt: none, median, lstsq, lad (least absolute scale and shift, by
+    reweighting from lstsq), or irls (least absolute scale, by reweighting from the ratio of means).
+    Each round of reweighting is one aggregation."""
     valid = pairs.where("gt > 0")
     if method == "none":
         return valid.groupBy(*keys).agg(F.lit(1.0).alias("s"), F.lit(0.0).alias("t"))
@@ -109,6 +110,15 @@ def depth_scale(pairs: DataFrame, keys: list[str], method: str, rounds: int = 10
         return valid.groupBy(*keys).agg((lower_median("gt") / lower_median("pred")).alias("s"), F.lit(0.0).alias("t"))
     if method == "lstsq":
         return valid.groupBy(*keys).agg(F.regr_slope("gt", "pred").alias("s"), F.regr_intercept("gt", "pred").alias("t"))
+    if method == "lad":
+        fit = valid.groupBy(*keys).agg(F.regr_slope("gt", "pred").alias("s"), F.regr_intercept("gt", "pred").alias("t"))
+        for _ in range(rounds):
+            w = 1 / (F.abs(F.col("s") * F.col("pred") + F.col("t") - F.col("gt")) + 1e-8)
+            sums = {"w": w, "x": w * F.col("pred"), "y": w * F.col("gt"), "xx": w * F.col("pred") * F.col("pred"), "xy": w * F.col("pred") * F.col("gt")}
+            step = valid.join(fit, keys).groupBy(*keys).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+            slope = (F.col("_w") * F.col("_xy") - F.col("_x") * F.col("_y")) / (F.col("_w") * F.col("_xx") - F.col("_x") * F.col("_x"))
+            fit = step.withColumn("s", slope).withColumn("t", (F.col("_y") - F.col("s") * F.col("_x")) / F.col("_w")).select(*keys, "s", "t")
+        return fit
     if method != "irls":
         raise ValueError(method)
     scales = valid.groupBy(*keys).agg((F.avg("gt") / F.avg("pred")).alias("s"))
@@ -183,3 +193,21 @@ def main_axes(points: DataFrame, keys: list[str]) -> DataFrame:
     v = points.groupBy(*keys).agg(*[F.var_pop(c).alias(c) for c in "xyz"])
     ordered = F.array_sort(F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(c).alias("axis")) for c in "xyz"]))
     return v.select(*keys, F.concat(F.get(ordered, F.lit(0))["axis"], F.get(ordered, F.lit(1))["axis"]).alias("axes"))
+
+
+def confidence_weights(rows: DataFrame, keys: list[str], conf: str, high: float = 0.8, low: float = 0.1) -> DataFrame:
+    """rows with weight: the confidence between two quantiles of its group, clamped to 0 and 1."""
+    q = rows.groupBy(*keys).agg(F.percentile(conf, F.lit(high)).alias("__h"), F.percentile(conf, F.lit(low)).alias("__l"))
+    w = (F.col(conf) - F.col("__l")) / (F.col("__h") - F.col("__l") + 1e-3)
+    return rows.join(q, keys).withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), w))).drop("__h", "__l")
+
+
+def first_visible(tracks: DataFrame, keys: list[str], frame: str, value: str, visible: str) -> DataFrame:
+    """keys, value of the first frame in which a track is visible; null if it never is."""
+    return tracks.groupBy(*keys).agg(F.min_by(F.when(F.col(visible), F.col(value)), F.when(F.col(visible), F.col(frame))).alias(value))
+
+
+def sine_code(position: Column, size: int, base: float = 10_000.0) -> Column:
+    """Sines, then cosines, of a position at falling frequencies."""
+    rates = [base ** (-2 * i / size) for i in range(size // 2)]
+    return F.array(*[f(position * r) for f in (F.sin, F.cos) for r in rates])

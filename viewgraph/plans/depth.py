@@ -111,6 +111,34 @@ def depth_scale_irls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.depth_scale(_depth_pairs(spark, sf_dir), ["seq"], "irls", 3).select("seq", F.round("s", 6).alias("s"))
 
 
+def depth_scale_lad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale and shift after a round of reweighting from least squares."""
+    return mt.depth_scale(_depth_pairs(spark, sf_dir), ["seq"], "lad", 1).select("seq", F.round("s", 6).alias("s"), F.round("t", 3).alias("t"))
+
+
+def confidence_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of events by their value between two quantiles of the user."""
+    out = mt.confidence_weights(_walk(spark, sf_dir), ["seq"], "value")
+    return out.select("seq", "event_id", F.round("weight", 6).alias("weight"))
+
+
+def first_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user with a value over its user's mean of 50."""
+    rows = _walk(spark, sf_dir).withColumns({"o": F.struct("us", "event_id"), "ok": F.col("value") > 50})
+    return mt.first_visible(rows, ["seq"], "o", "event_id", "ok")
+
+
+def lab_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with their colour in Lab, and back in bytes."""
+    from ..functions.color import lab_to_rgb, rgb_to_lab
+
+    rgb = [F.get("rgb", F.lit(i)).cast("double") for i in range(3)]
+    rows = table(spark, sf_dir, "point3d").select(*KEYS, "point3d_id", "rgb").distinct()
+    rows = rows.select(*KEYS, "point3d_id", *[c.alias(n) for n, c in zip("lab", rgb_to_lab(*rgb))])
+    back = lab_to_rgb(F.col("l"), F.col("a"), F.col("b"))
+    return rows.select(*KEYS, "point3d_id", *[F.round(c, 5).alias(c) for c in "lab"], *[c.alias(n) for n, c in zip(("red", "green", "blue"), back)])
+
+
 def aligned_depth_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _depth_pairs(spark, sf_dir)
     out = mt.depth_errors(mt.align_depth(pairs, mt.depth_scale(pairs, ["seq"], "lstsq"), ["seq"], 1e-5), ["seq"])
@@ -260,7 +288,7 @@ def track_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    depth_coverage, percentile_cut, prior_filter, depth_errors, depth_scales, depth_scale_irls, aligned_depth_errors, nearest_points, cloud_accuracy, mutual_points, voxel_iou, similarity_moments, similarity_fit,
+    depth_coverage, percentile_cut, prior_filter, depth_errors, depth_scales, depth_scale_irls, depth_scale_lad, confidence_weights, first_visible, lab_colors, aligned_depth_errors, nearest_points, cloud_accuracy, mutual_points, voxel_iou, similarity_moments, similarity_fit,
     icp_residual, point_normals, farthest_points, asof_events, lagged_motion, strided_events, last_event, macro_and_micro, whole_samples, sample_neighbours, listed_samples, track_lengths,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
@@ -335,6 +363,26 @@ SQL = {
     "depth_scale_irls": f"WITH {_DEPTHS}, s0 AS (SELECT seq, avg(gt) / avg(pred) AS s FROM d GROUP BY seq)" + "".join(
         f", s{i} AS (SELECT seq, sum(pred*gt / (abs(s*pred - gt) + 1e-8)) / sum(pred*pred / (abs(s*pred - gt) + 1e-8)) AS s FROM d JOIN s{i - 1} USING (seq) GROUP BY seq)" for i in (1, 2, 3)
     ) + " SELECT seq, round(greatest(s, 1e-3), 6) AS s FROM s3",
+    "depth_scale_lad": f"""
+        WITH {_DEPTHS}, f AS (SELECT seq, regr_slope(gt, pred) AS s, regr_intercept(gt, pred) AS t FROM d WHERE gt > 0 GROUP BY seq),
+        w AS (SELECT seq, pred, gt, 1 / (abs(s*pred + t - gt) + 1e-8) AS w FROM d JOIN f USING (seq) WHERE gt > 0),
+        m AS (SELECT seq, sum(w) AS w, sum(w*pred) AS x, sum(w*gt) AS y, sum(w*pred*pred) AS xx, sum(w*pred*gt) AS xy FROM w GROUP BY seq),
+        r AS (SELECT *, (w*xy - x*y) / (w*xx - x*x) AS s FROM m)
+        SELECT seq, round(s, 6) AS s, round((y - s*x) / w, 3) AS t FROM r""",
+    "confidence_weights": f"""
+        WITH {_WALK}, q AS (SELECT seq, quantile_cont(value, 0.8) AS h, quantile_cont(value, 0.1) AS l FROM e GROUP BY seq)
+        SELECT seq, event_id, round(greatest(0, least(1, (value - l) / (h - l + 1e-3))), 6) AS weight FROM e JOIN q USING (seq)""",
+    "first_visible": f"""
+        WITH {_WALK}, u AS (SELECT DISTINCT seq FROM e),
+        r AS (SELECT seq, event_id FROM e WHERE value > 50 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY us, event_id) = 1)
+        SELECT seq, event_id FROM u LEFT JOIN r USING (seq)""",
+    "lab_colors": f"""
+        WITH p AS (SELECT DISTINCT scene, recon, point3d_id, rgb FROM point3d),
+        n AS (SELECT scene, recon, point3d_id, rgb[1] AS red, rgb[2] AS green, rgb[3] AS blue,
+            list_transform(rgb, lambda c: CASE WHEN c / 255.0::DOUBLE > 0.04045 THEN pow((c / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE c / 255.0::DOUBLE / 12.92 END) AS i FROM p),
+        x AS (SELECT *, [(0.412453*i[1] + 0.357580*i[2] + 0.180423*i[3]) / 0.950456, 0.212671*i[1] + 0.715160*i[2] + 0.072169*i[3], (0.019334*i[1] + 0.119193*i[2] + 0.950227*i[3]) / 1.088754] AS t FROM n),
+        f AS (SELECT *, list_transform(t, lambda v: CASE WHEN v > 0.008856 THEN cbrt(v) ELSE 7.787*v + 16/116.0::DOUBLE END) AS f FROM x)
+        SELECT scene, recon, point3d_id, round(116*f[2] - 16, 5) AS l, round(500*(f[1] - f[2]), 5) AS a, round(200*(f[2] - f[3]), 5) AS b, red::INT AS red, green::INT AS green, blue::INT AS blue FROM f""",
     "aligned_depth_errors": f"""
         WITH {_DEPTHS}, f AS (SELECT seq, regr_slope(gt, pred) AS s, regr_intercept(gt, pred) AS t FROM d WHERE gt > 0 GROUP BY seq),
         a AS (SELECT seq, gt, greatest(s*pred + t, 1e-5) AS pred FROM d JOIN f USING (seq) WHERE gt > 0)
