@@ -9,7 +9,7 @@ moves the rows of a key to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,6 @@ def key_profile(rows: DataFrame, key: str, distinct: dict[str, list[str]], means
     return out.crossJoin(F.broadcast(total)).where(known).select(F.col("__key").alias(key), "rows", *distinct, *average, "total")  # total is one row
 
 
-def heavy(profile: DataFrame, share: float | Column = 1 / 50) -> DataFrame:
-    """The keys of a profile with more than this share of all rows: fewer than 1 / share of them."""
-    return profile.where(F.col("rows") > F.col("total") * share)
+def heavy(profile: DataFrame, parts: int = 50) -> DataFrame:
+    """The keys of a profile with more than one part in `parts` of all rows: fewer than parts of them."""
+    return profile.where(F.col("rows") * parts > F.col("total"))
