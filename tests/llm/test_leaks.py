@@ -64,6 +64,18 @@ def test_leaks_equal_brute_force(spark, errors):
     assert got == want
 
 
+def test_portions_hold_all_documents():
+    import pyarrow as pa
+
+    from viewgraph.llm import leaks
+
+    texts = ["x" * n for n in (5, leaks.PORTION_BYTES, 1, 2, leaks.PORTION_BYTES + 9, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["skip", *texts, "é"])], names=["d", "t"])
+    out = list(leaks._portions(iter([batch.slice(1), batch.slice(0, 0)])))
+    assert [i for ids, _ in out for i in ids] == [1, 2, 3, 4, 5, 6, 7] and [t for _, ts in out for t in ts] == [*texts, "é"]
+    assert [len(ids) for ids, _ in out] == [1, 1, 2, 1, 2]
+
+
 def test_leak_edge_cases(spark):
     item = " ".join(f"a{i}" for i in range(13))
     df = spark.createDataFrame([(1, item + "!"), (1, item), (2, None), (3, ""), (None, item), (4, "b " * 200_000 + item)], "d long, t string")

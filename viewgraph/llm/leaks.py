@@ -18,6 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from .words import words_of
 
 #: Words of items in a block; its index takes some 100 bytes for each.
 BLOCK_WORDS = 2_000_000
+#: Bytes of documents that a task has as words at a time.
+PORTION_BYTES = 4_000_000
 FOUND = "item long, doc long, errors int, n_words int"
 
 
@@ -174,6 +177,22 @@ def _scan(index: PassageIndex, docs: list[int], texts: list[str | None]) -> Iter
             yield index.items[i], docs[d], errors, run
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Documents some PORTION_BYTES at a time, whatever their number and length; a longer one comes alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0)
+        start, held = 0, 0
+        for at, size in enumerate(sizes.to_pylist()):
+            if at > start and held + size > PORTION_BYTES:
+                part = batch.slice(start, at - start)
+                yield part.column(0).to_pylist(), part.column(1).to_pylist()
+                start, held = at, 0
+            held += size
+        if start < batch.num_rows:
+            part = batch.slice(start)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
 def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, words: int = 13, max_errors: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """item, doc, errors, n_words: which documents hold a passage of `words` consecutive words of
     which items with at most max_errors word edits. errors is the fewest of any passage, 0 if one
@@ -191,8 +210,7 @@ def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = PassageIndex([(i, words_of(t)) for i, t in shared.value], words, max_errors)
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for ids, texts in _portions(batches):
                 rows = list(_scan(index, ids, texts))
                 if rows:
                     columns = list(zip(*rows))
