@@ -6,6 +6,8 @@ little for a prediction; trajectories are the events of a user.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -148,58 +150,59 @@ def aligned_depth_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Clouds
 
 
-def _clouds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _clouds(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The true cloud and one moved a little. The SQL of the queries below predicts points of even id alone; whole takes all."""
     rows = table(spark, sf_dir, "point3d").select(*KEYS, F.col("point3d_id").alias("idx"), "xyz").distinct()
     x, y, z = (F.get("xyz", F.lit(i)) for i in range(3))
     gt = rows.select(*KEYS, "idx", x.alias("x"), y.alias("y"), z.alias("z"))
-    pred = rows.where("idx % 2 = 0").select(*KEYS, "idx", (x * 1.01 + 0.02).alias("x"), (y * 1.01 - 0.03).alias("y"), (z * 1.01).alias("z"))
+    pred = (rows if whole else rows.where("idx % 2 = 0")).select(*KEYS, "idx", (x * 1.01 + 0.02).alias("x"), (y * 1.01 - 0.03).alias("y"), (z * 1.01).alias("z"))
     return gt, pred
 
 
-def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    gt, pred = _clouds(spark, sf_dir)
+def _neighbours(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    gt, pred = _clouds(spark, sf_dir, whole)
     return nn.nearest(pred, gt, KEYS, 1.0), nn.nearest(gt, pred, KEYS, 1.0)
 
 
-def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_points(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The nearest true point to every predicted one."""
-    gt, pred = _clouds(spark, sf_dir)
+    gt, pred = _clouds(spark, sf_dir, whole)
     return nn.nearest(pred, gt, KEYS, 1.0).select(*KEYS, "idx", "nn", F.round("distance", 6).alias("distance"))
 
 
-def cloud_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mt.reconstruction_summary(*_neighbours(spark, sf_dir), KEYS)
+def cloud_accuracy(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    out = mt.reconstruction_summary(*_neighbours(spark, sf_dir, whole), KEYS)
     return out.select(*KEYS, *[F.round(c, 6).alias(c) for c in out.columns if c not in KEYS])
 
 
-def mutual_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn.mutual(*_neighbours(spark, sf_dir), KEYS, 0.5).select(*KEYS, "a", "b", F.round("distance", 6).alias("distance"))
+def mutual_points(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return nn.mutual(*_neighbours(spark, sf_dir, whole), KEYS, 0.5).select(*KEYS, "a", "b", F.round("distance", 6).alias("distance"))
 
 
-def voxel_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = nn.voxel_iou(*_clouds(spark, sf_dir), KEYS, 1.0)
+def voxel_iou(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    out = nn.voxel_iou(*_clouds(spark, sf_dir, whole), KEYS, 1.0)
     return out.select(*KEYS, "n_common", "n_union", F.round("iou", 6).alias("iou"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, pred = _clouds(spark, sf_dir)
+def _pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    gt, pred = _clouds(spark, sf_dir, whole)
     return pred.join(gt.toDF(*KEYS, "idx", "u", "v", "w"), [*KEYS, "idx"])
 
 
-def similarity_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = reg.moments(_pairs(spark, sf_dir), KEYS)
+def similarity_moments(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    m = reg.moments(_pairs(spark, sf_dir, whole), KEYS)
     return m.select(*KEYS, *[F.round(c, 9).alias(c) for c in m.columns if c not in KEYS])
 
 
-def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def similarity_fit(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The Sim(3) that takes a prediction back: a scale of 1 / 1.01, no turn, and the shift undone."""
-    fit = reg.similarity(_pairs(spark, sf_dir), KEYS)
+    fit = reg.similarity(_pairs(spark, sf_dir, whole), KEYS)
     return fit.select(*KEYS, F.round("s", 5).alias("s"), *[F.round(F.get("r", F.lit(i)), 5).alias(f"r{i}") for i in (0, 4, 8)], *[F.round(F.get("t", F.lit(i)), 4).alias(f"t{i}") for i in range(3)])
 
 
 def icp_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean distance to the nearest true point after a few ICP steps on the predicted clouds of one contributor's size."""
-    gt, pred = _clouds(spark, sf_dir)
+    gt, pred = _clouds(spark, sf_dir, True)
     done = reg.icp(pred, gt, KEYS, 1.0, 3)
     return nn.nearest(done, gt, KEYS, 1.0).groupBy(*KEYS).agg(F.round(F.avg("distance"), 6).alias("residual"))
 
@@ -291,7 +294,9 @@ _FUNCTIONS = (
     depth_coverage, percentile_cut, prior_filter, depth_errors, depth_scales, depth_scale_irls, depth_scale_lad, confidence_weights, first_visible, lab_colors, aligned_depth_errors, nearest_points, cloud_accuracy, mutual_points, voxel_iou, similarity_moments, similarity_fit,
     icp_residual, point_normals, farthest_points, asof_events, lagged_motion, strided_events, last_event, macro_and_micro, whole_samples, sample_neighbours, listed_samples, track_lengths,
 )
-QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
+# Beside the queries whose SQL has half of the points: the same over whole clouds, without SQL.
+_CLOUD_FUNCTIONS = (nearest_points, cloud_accuracy, mutual_points, voxel_iou, similarity_moments, similarity_fit)
+QUERIES = {f.__name__: f for f in _FUNCTIONS} | {f"whole_{f.__name__}": partial(f, whole=True) for f in _CLOUD_FUNCTIONS} | {
     "gradient_cut": gradient_cut, "median_cut": median_cut, "sparse_object_cut": sparse_object_cut, "small_component_cut": small_component_cut, "cleaned_depth": cleaned_depth, "depth_edge_mask": depth_edge_mask,
 }
 
