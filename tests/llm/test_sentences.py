@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from viewgraph.llm import sentences as sn
 from viewgraph.llm.sentences import sentence_spans, sentences
 
 CASES = {
@@ -49,3 +52,39 @@ def test_spans(spark):
     out = sentence_spans(df, "doc_id", "text", "a", "b").collect()
     assert {(r.doc, r.sent_start, r.sent_end) for r in out} == {(1, 4, 5), (1, 7, 13), (1, 14, 19), (5, 0, 8), (6, 0, 4), (None, 0, 1), (7, 0, 1)}
     assert sentence_spans(df.limit(0), "doc_id", "text", "a", "b").collect() == []
+
+
+@pytest.mark.parametrize("n", [240, 260, 300, 1000])
+def test_semicolons_hide_no_end(n):
+    first = "Items are " + "item; " * n + "last."
+    text = f"S\n\nIt ran. {first} Then it ended. Now test! Done?"
+    assert [text[a:b] for a, b in sentences(text)] == ["S", "It ran.", first, "Then it ended.", "Now test!", "Done?"]
+
+
+def _all_spans(text):
+    """The best cut by trying every span; of equal scores the latest start wins."""
+    ends = sn.cuts(text, sn.pairs_of(text))
+    starts = [0] + [c.next for c in ends[:-1]]
+    best, back = [0] + [None] * len(ends), [0] * (len(ends) + 1)
+    for j, cut in enumerate(ends):
+        for i in range(j, -1, -1):
+            length, n = cut.end - starts[i], len(sn._GREEK.findall(text[starts[i] : cut.end]))
+            if best[i] is None or cut.greek and not n or cut.score <= -6 and j + 1 < len(ends):
+                continue
+            s = best[i] + round(cut.score * 1000) + (-1500 if length < 4 else -2 * max(0, length - 400))
+            s -= sn._unbalanced(text, cut) if cut.quote_start > starts[i] else 0
+            if best[j + 1] is None or s > best[j + 1]:
+                best[j + 1], back[j + 1] = s, i
+    out, j = [], len(ends)
+    while j:
+        out.append((starts[back[j]], ends[j - 1].end))
+        j = back[j]
+    return out[::-1]
+
+
+def test_the_recurrence_is_exact():
+    rng = random.Random(5)
+    words = ["item;", "item;", "See", "fig.", "Dr.", "e.g.", "ran.", "λέξη", "τέλος;", "Now!", '"Why? no."', "(It", "is.)", "«Да. Нет.»", "said:", "read_it()", "安全。", "ใช้", "แล้ว", "U.S.", "5", "Ünd", "x" * 120, "“" + "long text " * 50 + "here.”"]
+    for n in [5] * 200 + [60] * 100 + [700] * 6:
+        text = " ".join(rng.choices(words, [rng.random() ** 3 for _ in words], k=n))
+        assert sn.segment(text) == _all_spans(text)

@@ -13,6 +13,7 @@ and blank lines bound sentences whatever stands there.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,6 +55,7 @@ _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _CODE = re.compile(r"`|v\d+\.\d|\w*[a-z0-9][A-Z]\w*|\w+_\w*|\w+\(\)|\w+(?:\.\w+)*\(|https?://|[\w-]+/[\w./-]+|\w+\.(?:py|js|c|h|md|yaml|json|txt)\b")
 _BLANKS = " \t\n\r  　​"
 _NONE = -1e9
+_LONG = 400
 
 
 def pairs_of(text: str) -> list[int]:
@@ -223,52 +225,64 @@ def cuts(text: str, depth: list[int]) -> list[Cut]:
     return out
 
 
-def _length(text_len: int) -> float:
-    """Sentences of a few words and more are likelier than fragments; very long ones are not."""
+def _length(text_len: int) -> int:
+    """Sentences of a few words and more are likelier than fragments; very long ones are not. In thousandths."""
     if text_len < 4:
-        return -1.5
-    return 0.0 if text_len < 400 else -0.002 * (text_len - 400)
-
-
-def _span(text: str, start: int, cut: Cut) -> float:
-    """Score of the sentence text[start:cut.end]."""
-    score = cut.score + _length(cut.end - start)
-    if cut.greek and not _GREEK.search(text, start, cut.end):
-        return _NONE
-    if cut.quote_start >= 0 and cut.next < len(text):
-        c = text[cut.next]
-        if not (c.isupper() or c in "\"“„«»¿¡(" or c.isdigit()) and not _CODE.match(text, cut.next) or c == "—":
-            # Scripts without capitals: a quotation ends the sentence if it is all of it, or follows a colon.
-            before = text[:cut.quote_start].rstrip(_BLANKS)[-1:]
-            if cut.quote_start > start and before not in (":", "："):
-                score -= 8.0
-        elif cut.quote_start > start and not c.isupper() and _CODE.match(text, cut.next):
-            before = text[:cut.quote_start].rstrip(_BLANKS)[-1:]
-            if before not in (":", "：") and text[cut.quote_start] not in "(（[":
-                score -= 4.0
-    return score
-
-
-def segment(text: str, most_back: int = 250) -> list[tuple[int, int]]:
-    """Sentences of a block by dynamic programming over whole spans.
-
-    A span passes over most_back candidates at most; a block with more non-boundaries than that in
-    one sentence is cut at the best of them, which keeps time in proportion to length.
+        return -1500
+    return 0 if text_len < _LONG else -2 * (text_len - _LONG)
+
+
+def _unbalanced(text: str, cut: Cut) -> int:
+    """What a sentence loses, in thousandths, that opens before the quotation that it ends with."""
+    if cut.quote_start < 0 or cut.next >= len(text):
+        return 0
+    c = text[cut.next]
+    before = text[:cut.quote_start].rstrip(_BLANKS)[-1:]
+    if not (c.isupper() or c in "\"“„«»¿¡(" or c.isdigit()) and not _CODE.match(text, cut.next) or c == "—":
+        # Scripts without capitals: a quotation ends the sentence if it is all of it, or follows a colon.
+        return 8000 if before not in (":", "：") else 0
+    if not c.isupper() and _CODE.match(text, cut.next):
+        return 4000 if before not in (":", "：") and text[cut.quote_start] not in "(（[" else 0
+    return 0
+
+
+def segment(text: str) -> list[tuple[int, int]]:
+    """Sentences of a block by dynamic programming over whole spans, exact at any number of candidates.
+
+    Scores are whole thousandths, so that sums don't depend on their order; of equal ones the latest start wins.
+    A span of _LONG characters or more loses in proportion to its length, so of all starts that far back the
+    one with the greatest score + 2 start is best for every end, and is kept as candidates go by. Only
+    nearer starts are tried one by one, and those from the opening of a quotation that the span ends with,
+    of which there is one at most, as quotations hold no candidates. Time is in proportion to length.
     """
     depth = pairs_of(text)
     ends = cuts(text, depth)
     if len(ends) == 1:
         return [(0, len(text))]
     starts = [0] + [c.next for c in ends[:-1]]
-    best = [0.0] + [_NONE * 10] * len(ends)
+    greek = [m.start() for m in _GREEK.finditer(text)]
+    best: list[int | None] = [0] + [None] * len(ends)  # None: no sentence ends there
     back = [0] * (len(ends) + 1)
+    top: list[int] = []  # of the starts up to each, that with the greatest best + 2 start
     for j, cut in enumerate(ends):
-        if cut.score <= -6 and j + 1 < len(ends) and len(ends) <= most_back:
+        k = top[-1] if top else 0
+        top.append(j if best[j] is not None and best[j] + 2 * starts[j] >= best[k] + 2 * starts[k] else k)
+        if cut.score <= -6 and j + 1 < len(ends):
             continue
-        for i in range(j, max(-1, j - most_back), -1):
-            if best[i] > _NONE:
-                s = best[i] + _span(text, starts[i], cut)
-                if s > best[j + 1]:
+        last = j
+        if cut.greek:  # only a sentence with a Greek letter ends here
+            n = bisect_left(greek, cut.end)
+            if not n:
+                continue
+            last = bisect_right(starts, greek[n - 1], 0, j + 1) - 1
+        low, loss = bisect_right(starts, cut.end - _LONG, 0, last + 1), _unbalanced(text, cut)
+        if loss:
+            low = min(low, bisect_left(starts, cut.quote_start, 0, last + 1))
+        score = round(cut.score * 1000)
+        for i in (*range(last, low - 1, -1), *top[max(low - 1, 0) : low]):
+            if best[i] is not None:
+                s = best[i] + score + _length(cut.end - starts[i]) - (loss if cut.quote_start > starts[i] else 0)
+                if best[j + 1] is None or s > best[j + 1]:
                     best[j + 1], back[j + 1] = s, i
     out, j = [], len(ends)
     while j:
