@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from viewgraph.operators import registration
 from viewgraph.plans import registry
 
 
@@ -38,3 +39,23 @@ def test_whole_clouds_ask_and_search_every_point(spark, folder):
 def test_every_sequence_has_a_residual(spark, folder):
     got = {r.scene: r.residual for r in registry.queries()["icp_residual"](spark, folder[0]).collect()}
     assert set(got) == {"s", "odd"}
+
+
+def test_icp_of_a_group_does_not_depend_on_others(spark):
+    rng = np.random.default_rng(1)
+    small, large = rng.uniform(0, 3, (30, 3)), rng.uniform(0, 3, (900, 3))
+    c, s = np.cos(0.4), np.sin(0.4)
+    turned = small @ np.array([[c, s, 0], [-s, c, 0], [0, 0, 1]]) + [0.3, -0.15, 0.15]
+    frame = lambda parts: spark.createDataFrame([(k, i, *map(float, v)) for k, p in parts for i, v in enumerate(p)], "seq string, idx long, x double, y double, z double")
+    run = lambda source, target: {r.idx: (r.x, r.y, r.z) for r in registration.icp(frame(source), frame(target), ["seq"], 1.0, 12, tolerance=5e-3).where("seq = 'small'").collect()}
+    alone = run([("small", turned)], [("small", small)])
+    beside = run([("small", turned), ("large", large)], [("small", small), ("large", large)])
+    assert set(alone) == set(beside) == set(range(30))
+    assert all(np.allclose(alone[i], beside[i], atol=1e-9) for i in alone)
+    assert not np.allclose([alone[i] for i in range(30)], turned, atol=0.05)
+
+
+def test_icp_leaves_groups_without_neighbours(spark):
+    a = spark.createDataFrame([("far", 1, 50.0, 0.0, 0.0), ("none", 1, 0.0, 0.0, 0.0)], "seq string, idx long, x double, y double, z double")
+    b = spark.createDataFrame([("far", 1, 0.0, 0.0, 0.0)], a.schema)
+    assert {(r.seq, r.x) for r in registration.icp(a, b, ["seq"], 1.0, 3).collect()} == {("far", 50.0), ("none", 0.0)}

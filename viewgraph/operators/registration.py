@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..scale import Workspace
 from .nearest import nearest
 
 SIM3 = "s double, r array<double>, t array<double>"
@@ -66,21 +67,29 @@ def moved(points: DataFrame, fit: DataFrame, keys: list[str], names: tuple[str,
 
 def icp(source: DataFrame, target: DataFrame, keys: list[str], threshold: float = 0.1, rounds: int = 30, cell: float | None = None, tolerance: float = 1e-6) -> DataFrame:
     """source moved onto target by rigid point-to-point steps: nearest neighbours within the threshold, then
-    the least-squares motion. Ends after `rounds` steps, or when the mean distance of all groups changes by
-    less than the tolerance; that mean is one number. Groups without neighbours stay where they are."""
-    now, before = source.select(*keys, "idx", "x", "y", "z"), None
+    the least-squares motion. Each group ends for itself, after `rounds` steps or when its own mean distance
+    changes by less than the tolerance, so its result doesn't depend on other groups. Groups without neighbours
+    stay where they are."""
+    space = Workspace(source.sparkSession, "icp")
+    start = source.select(*keys, "idx", "x", "y", "z", F.lit(None).cast("double").alias("before"), F.lit(False).alias("settled"))
+    moving = F.count_if(~F.col("settled"))
+    # Positions are the state of the loop: written, so that plans stay short, with a count of the points that still move.
+    now = space.write(start, moving)
     for _ in range(rounds):
-        near = nearest(now, target, keys, cell or threshold).where(F.col("distance") <= threshold)
-        near = near.join(now, [*keys, "idx"]).join(target.select(*keys, F.col("idx").alias("nn"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w")), [*keys, "nn"])
-        mean = near.agg(F.avg("distance")).first()[0]
-        if mean is None or before is not None and abs(before - mean) < tolerance:
+        if not now.mark:
             break
-        before = mean
-        fit = similarity(near, keys, scaled=False)
-        step = F.when(F.col("s").isNotNull(), g.apply_similarity(F.col("s"), F.col("r"), F.col("t"), F.array("x", "y", "z"))).otherwise(F.array("x", "y", "z"))
-        # Positions are the state of the loop: cut their lineage.
-        now = now.join(fit, keys, "left").withColumn("p", step).select(*keys, "idx", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")]).checkpoint()
-    return now
+        rest = now.df.where(~F.col("settled"))
+        near = nearest(rest, target, keys, cell or threshold).where(F.col("distance") <= threshold)
+        means = near.groupBy(*keys).agg(F.avg("distance").alias("mean"))
+        near = near.join(rest, [*keys, "idx"]).join(target.select(*keys, F.col("idx").alias("nn"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w")), [*keys, "nn"])
+        fit = means.join(similarity(near, keys, scaled=False), keys)
+        same = F.col("settled") | F.col("mean").isNull() | F.coalesce(F.abs(F.col("before") - F.col("mean")) < tolerance, F.lit(False))
+        step = F.when(same, F.array("x", "y", "z")).otherwise(g.apply_similarity(F.col("s"), F.col("r"), F.col("t"), F.array("x", "y", "z")))
+        moved_on = now.df.join(fit, keys, "left").withColumn("p", step).withColumn("same", same)
+        moved_on = moved_on.select(*keys, "idx", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")], F.col("mean").alias("before"), F.col("same").alias("settled"))
+        last, now = now, space.write(moved_on, moving)
+        last.drop()
+    return now.df.select(*keys, "idx", "x", "y", "z")
 
 
 def _by_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
