@@ -59,3 +59,10 @@ def test_icp_leaves_groups_without_neighbours(spark):
     a = spark.createDataFrame([("far", 1, 50.0, 0.0, 0.0), ("none", 1, 0.0, 0.0, 0.0)], "seq string, idx long, x double, y double, z double")
     b = spark.createDataFrame([("far", 1, 0.0, 0.0, 0.0)], a.schema)
     assert {(r.seq, r.x) for r in registration.icp(a, b, ["seq"], 1.0, 3).collect()} == {("far", 50.0), ("none", 0.0)}
+
+
+def test_the_residual_is_that_of_the_default_icp(spark, folder, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registration, "icp", lambda source, target, keys, *a, **k: asked.append((a, k)) or source)
+    registry.queries()["icp_residual"](spark, folder[0])
+    assert asked == [((), {})]

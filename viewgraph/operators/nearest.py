@@ -11,14 +11,15 @@ from pyspark.sql.window import Window
 from ..scale import Workspace
 
 
-def nearest(queries: DataFrame, points: DataFrame, keys: list[str], cell: float, rounds: int = 24) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, keys: list[str], cell: float, rounds: int = 24, radius: float | None = None) -> DataFrame:
     """keys, idx, nn, distance: the nearest of points (keys, idx, x, y, z) to each query of the same group.
 
     A grid of cells meets the 27 around a query by an equi-join; a neighbour within one cell's side is
     final. Queries left over meet a grid of twice the side, and so on, so the result is exact at any
     density and cells stay small. Ties go to the lesser idx. Queries of groups without points, and
     points with null coordinates, give nothing. After `rounds` doublings what is left lies further away
-    than 2^rounds cells and is compared group by group.
+    than 2^rounds cells and is compared group by group. With a radius, neighbours further away give nothing
+    and aren't looked for.
     """
     space = Workspace(queries.sparkSession, "nearest")
     whole = lambda df: df.where("x is not null and y is not null and z is not null")
@@ -40,6 +41,8 @@ def nearest(queries: DataFrame, points: DataFrame, keys: list[str], cell: float,
         best = best.where(F.col("distance") <= side).groupBy(*keys, "idx").agg(F.min(F.struct("distance", "nn")).alias("n"))
         found = space.write(best.select(*keys, "idx", "n.nn", "n.distance"))
         done = found.df if done is None else done.unionAll(found.df)
+        if radius is not None and side >= radius:
+            return done.where(F.col("distance") <= radius)
         left = space.write(left.df.join(found.df.select(*keys, "idx"), [*keys, "idx"], "left_anti"))
         side *= 2
     if left.rows:  # far outliers only

@@ -79,7 +79,7 @@ def icp(source: DataFrame, target: DataFrame, keys: list[str], threshold: float
         if not now.mark:
             break
         rest = now.df.where(~F.col("settled"))
-        near = nearest(rest, target, keys, cell or threshold).where(F.col("distance") <= threshold)
+        near = nearest(rest, target, keys, cell or threshold, radius=threshold).where(F.col("distance") <= threshold)
         means = near.groupBy(*keys).agg(F.avg("distance").alias("mean"))
         near = near.join(rest, [*keys, "idx"]).join(target.select(*keys, F.col("idx").alias("nn"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w")), [*keys, "nn"])
         fit = means.join(similarity(near, keys, scaled=False), keys)

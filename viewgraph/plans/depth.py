@@ -201,9 +201,9 @@ def similarity_fit(spark: SparkSession, sf_dir: str, whole: bool = False) -> Dat
 
 
 def icp_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean distance to the nearest true point after a few ICP steps on the predicted clouds of one contributor's size."""
+    """Mean distance to the nearest true point of each reconstruction's predicted cloud after ICP with its defaults."""
     gt, pred = _clouds(spark, sf_dir, True)
-    done = reg.icp(pred, gt, KEYS, 1.0, 3)
+    done = reg.icp(pred, gt, KEYS)
     return nn.nearest(done, gt, KEYS, 1.0).groupBy(*KEYS).agg(F.round(F.avg("distance"), 6).alias("residual"))
 
 
