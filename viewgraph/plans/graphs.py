@@ -168,8 +168,8 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight connected samples of 12 images of each reconstruction."""
-    return samplers.scene_samples(match_graph(spark, sf_dir), KEYS, 12, 8, weight="weight", trials=64, top_k=8)
+    """Connected samples of each reconstruction's match graph with the sampler's defaults: 64 of 24 images, 512 trials, the top 32."""
+    return samplers.scene_samples(match_graph(spark, sf_dir), KEYS, weight="weight")
 
 
 def dfs_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
