@@ -177,8 +177,9 @@ def dfs_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skeletal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = gr.strongest(_similar(spark, sf_dir), ["label"], 2)
-    edges = edges.withColumns({c: F.col(c).cast("string") for c in ("src", "dst")})
+    """Clusters of each label's k=1 graph, made connected first so that no part is cut off from the rest."""
+    edges = _similar(spark, sf_dir).join(connected_knn(spark, sf_dir), ["src", "dst"], "left_semi")
+    edges = edges.select("label", "src", "dst", "weight").withColumns({c: F.col(c).cast("string") for c in ("src", "dst")})
     return samplers.clusters(edges, ["label"], tau=0.3, window=2, min_weight=0.0)
 
 
