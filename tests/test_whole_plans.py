@@ -1,5 +1,8 @@
+import pytest
+
+from viewgraph.llm import queries as llm
 from viewgraph.operators import samplers
-from viewgraph.plans import graphs
+from viewgraph.plans import depth, graphs
 
 
 def test_scene_samples_takes_the_samplers_defaults(spark, monkeypatch):
@@ -22,3 +25,18 @@ def test_skeletal_clusters_come_from_a_connected_graph(spark, tmp_path, monkeypa
         both = parts[r.src] | parts[r.dst]
         parts |= dict.fromkeys(both, both)
     assert parts["0"] == {str(i) for i in range(8)}
+
+
+def test_events_are_those_of_the_two_least_types(spark, monkeypatch):
+    rows = [("u", i, f"t{i:04}", float(i), 1.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq string, event_id long, event_type string, us double, value double")
+    monkeypatch.setattr(depth, "_walk", lambda *a: df)
+    assert [tuple(r) for r in depth.asof_events(spark, "folder").collect()] == [("u", 0, 1e-6)]
+
+
+def test_too_many_split_targets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(llm, "_entries", lambda *a: (None, None))
+    monkeypatch.setattr(llm, "table", lambda *a: spark.range(1001).selectExpr("string(id) AS split", "1.0D AS proportion"))
+    monkeypatch.setattr(llm, "assign_splits", lambda *a: spark.createDataFrame([("a",)], "name string"))
+    with pytest.raises(ValueError, match="1000"):
+        llm.p4_splits(spark, "folder")

@@ -98,7 +98,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_recon_name, group_name, split: one split for every name, in the proportions of split_target."""
     _, groups = _entries(spark, sf_dir)
-    rows = table(spark, sf_dir, "split_target").where("split is not null and proportion > 0").orderBy("split").limit(1000).collect()
+    rows = table(spark, sf_dir, "split_target").where("split is not null and proportion > 0").orderBy("split").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 split targets")
     return assign_splits(groups, {r["split"]: r["proportion"] for r in rows}).withColumnRenamed("name", "scene_recon_name")
 
 

@@ -228,7 +228,7 @@ def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each click with the view of the same user nearest in time, within an hour."""
     rows = _walk(spark, sf_dir)
-    kinds = sorted(r[0] for r in rows.select("event_type").distinct().limit(100).collect() if r[0])
+    kinds = [r[0] for r in rows.where("event_type is not null").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
     left = rows.where(F.col("event_type") == kinds[0]).select("seq", "event_id", "us")
     right = rows.where(F.col("event_type") == kinds[1]).select("seq", "event_id", "us")
     return nn.asof(left, right, ["seq"], "us", 3.6e9 * 24).select("seq", "event_id", (F.col("gap") / 1e6).alias("gap_s"))
