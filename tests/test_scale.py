@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from viewgraph.operators.heavy_keys import distinct_rows, heavy, key_profile
+from viewgraph.operators.heavy_keys import folded, heavy, key_profile
 from viewgraph.scale import Workspace, attach, numbered_within
 
 
@@ -28,10 +28,21 @@ def test_numbered_within_counts_from_zero_without_gaps(spark):
 
 
 def test_profiles_of_skewed_keys(spark):
-    rows = [("a", 1, 1, 1.0), ("a", 1, 1, 1.0), ("a", 2, 1, None), ("a", 3, None, 3.0), ("b", 1, 5, None), (None, 9, 9, 9.0)]
-    df = spark.createDataFrame(rows, "k string, id int, p int, x double")
-    once = distinct_rows(df, ["k", "id"], ["p", "x"])
-    got = {r.k: (r.rows, r.points, r.mean, r.total) for r in key_profile(once, "k", {"points": ["p"]}, {"mean": "x"}).collect()}
-    assert got == {"a": (3, 1, 2.0, 5), "b": (1, 1, None, 5)}
-    assert [r.k for r in heavy(key_profile(once, "k", {}, {}), 2).collect()] == ["a"]
-    assert key_profile(once.limit(0), "k", {"points": ["p"]}, {"mean": "x"}).collect() == []
+    rows = [("a", "s", 1, 1, 1.0), ("a", "s", 1, 1, 1.0), ("a", "s", 2, 1, None), ("a", "t", 3, None, 3.0), ("a", "t", 4, 1, 2.0), ("b", None, 1, 5, None), (None, "s", 9, 9, 9.0)]
+    df = spark.createDataFrame(rows, "k string, g string, id int, p int, x double")
+    profile = lambda d, **more: key_profile(folded(d, ["k", "g"], ["id"], ["p", "x"], F.coalesce("p", -F.col("id"))), "k", ["g"], **more)
+    whole = {"value": "p", "group": "g", "means": {"mean": "x"}, "names": ("points", "scenes")}
+    got = {r.k: (r.rows, r.points, r.scenes, r["mean"], r.total) for r in profile(df, **whole).collect()}
+    assert got == {"a": (4, 2, 2, 2.0, 6), "b": (1, 1, 0, None, 6)}
+    assert [r.k for r in heavy(profile(df), 2).collect()] == ["a"]
+    assert profile(df.limit(0), **whole).collect() == []
+
+
+def test_a_name_that_holds_a_third_of_all_rows(spark):
+    n = 30_000
+    hot = F.col("id") % 3 == 0
+    df = spark.range(n).select(F.when(hot, F.lit("a")).otherwise(F.concat(F.lit("n"), F.col("id") % 100)).alias("k"), F.lit("s").alias("g"), (F.col("id") % 9000).alias("id"), (F.col("id") % 9000).alias("p"))
+    rows = folded(df, ["k", "g"], ["id"], ["p"], F.floor(F.col("p") / 64))
+    got = {r.k: (r.rows, r["values"]) for r in key_profile(rows, "k", ["g"], "p").collect()}
+    want = df.distinct().groupBy("k").agg(F.count("p"), F.countDistinct("p")).collect()
+    assert got == {r[0]: (r[1], r[2]) for r in want}

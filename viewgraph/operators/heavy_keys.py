@@ -1,56 +1,63 @@
 """Per-key results where a few keys hold most rows.
 
-The method: map-side combining with native algebraic aggregates. Tasks fold their rows into
-hash tables of mergeable states that spill, and only those states are shuffled. Distinct counts are
-made of two such steps: the distinct (key, value) combinations are spread over all tasks by their
-whole combination, then counted per key, again with a combine before the shuffle. No step
-moves the rows of a key to one task.
+The method: map-side combining with native aggregates. Tasks fold their rows into tables of
+mergeable states that spill, and only those states are shuffled; a hot key costs the shuffle one state a task.
+
+Repeated rows and distinct values need rows side by side, so the finer keys that a key falls into
+(such as the scenes of a name) and buckets of the values are one shuffle key: rows travel once, folded into
+sets, and repeated rows, distinct values, counts and sums are all taken from that one partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import Workspace
+
+#: Values, or places of rows without a value, that one bucket may hold.
+BUCKET = 1 << 16
+
 
-def distinct_rows(rows: DataFrame, identity: list[str], carried: list[str]) -> DataFrame:
-    """One row for each identity; carried columns are functions of it, as repeated rows are equal.
+def folded(rows: DataFrame, parts: list[str], identity: list[str], carried: list[str], bucket: Column) -> DataFrame:
+    """Distinct rows (parts, bucket, identity, carried), in one shuffle by parts and bucket.
 
-    Where they are not, the least value of each carried column counts.
+    Rows that agree in all these columns are one; those that differ in any are several. Each task folds its
+    rows into sets first, so a row repeated at will is shuffled once a task, and what names a part is shuffled once for
+    its set. bucket must be a function of identity and carried, and bounds what a set holds.
     """
-    return rows.groupBy(*identity).agg(*[F.min(c).alias(c) for c in carried])
+    sets = rows.withColumn("bucket", bucket).groupBy(*parts, "bucket").agg(F.collect_set(F.struct(*identity, *carried)).alias("set"))
+    return sets.select(*parts, "bucket", F.inline("set"))
 
 
-def key_profile(rows: DataFrame, key: str, distinct: dict[str, list[str]], means: dict[str, str]) -> DataFrame:
-    """key, rows, one distinct count for each entry of distinct, one mean for each of means, total.
+def key_profile(rows: DataFrame, key: str, within: list[str], value: str | None = None, group: str | None = None, means: dict[str, str] = {}, names: tuple[str, str] = ("values", "groups")) -> DataFrame:  # noqa: B006
+    """key, rows, values, groups, a mean for each of means, total.
 
-    distinct: name of a count -> columns whose combinations are counted; combinations with a null
-    are not counted. The sets of columns must contain one another, so that each level of aggregation goes on
-    from the one before and rows are read once. means: name of a mean -> column; nulls are left out, and a
-    mean of nothing is null. total counts the rows of all keys. Rows with a null key count in total but
-    have no result. rows should hold each row once; see distinct_rows.
+    rows: distinct ones with a bucket, partitioned by key, within and bucket, as folded gives them. values: how many
+    distinct combinations of within and value a key has; a null value is none. value must be what bucket comes from where it
+    isn't null, so that equal values share a bucket. groups: how many distinct values of the column
+    group (one of within) a key has. Both counts are left out where no column is named; names renames them. means: name of
+    a mean -> column; nulls are left out, and a mean of nothing is null. total counts the rows of all keys. Rows with a
+    null key count in total but have no result. The profile is written to the shared folder, whole.
     """
-    levels = sorted(distinct.items(), key=lambda d: -len(d[1]))
-    for (_, more), (_, fewer) in zip(levels, levels[1:]):
-        if not set(fewer) <= set(more):
-            raise ValueError("the columns of distinct counts must contain one another")
     sums = {f"__s_{n}": F.sum(c) for n, c in means.items()} | {f"__c_{n}": F.count(c) for n, c in means.items()}
-    state = {"rows": F.count(F.lit(1))} | sums
+    state, counts = {"__rows": F.count(F.lit(1))} | sums, []
     out = rows.withColumn("__key", F.col(key))
-    for name, columns in levels:
-        out = out.groupBy("__key", *columns).agg(*[v.alias(n) for n, v in state.items()])
-        whole = F.lit(True)
-        for c in columns:
-            whole = whole & F.col(c).isNotNull()
-        state = {n: F.sum(n) for n in state} | {name: F.count_if(whole)}
+    if value is not None:
+        out = out.groupBy(key, *within, "bucket", "__key", value).agg(*[v.alias(n) for n, v in state.items()])
+        state = {n: F.sum(n) for n in state} | {"__values": F.count(value)}
+        counts.append(F.col("__values").alias(names[0]))
+    if group is not None:
+        out = out.groupBy("__key", group).agg(*[v.alias(n) for n, v in state.items()])
+        state = {n: F.sum(n) for n in state} | {"__groups": F.count(group)}
+        counts.append(F.col("__groups").alias(names[1]))
     out = out.groupBy("__key").agg(*[v.alias(n) for n, v in state.items()])
-    total = out.agg(F.sum("rows").alias("total"))
     average = [(F.col(f"__s_{n}") / F.col(f"__c_{n}")).alias(n) for n in means]
-    # The condition on the key names a count as well, so that both uses of the aggregate stay one plan.
-    known = F.when(F.col("rows") > 0, F.col("__key")).isNotNull()
-    return out.crossJoin(F.broadcast(total)).where(known).select(F.col("__key").alias(key), "rows", *distinct, *average, "total")  # total is one row
+    named = out.select(F.col("__key").alias(key), F.col("__rows").alias("rows"), *counts, *average)
+    done = Workspace(rows.sparkSession, "profile").write(named, F.sum("rows"))
+    return done.df.where(F.col(key).isNotNull()).withColumn("total", F.lit(done.mark).cast("long"))
 
 
 def heavy(profile: DataFrame, parts: int = 50) -> DataFrame:
     """The keys of a profile with more than one part in `parts` of all rows: fewer than parts of them."""
-    return profile.where(F.col("rows") * parts > F.col("total"))
+    return profile.where(F.col("rows") > F.expr(f"total div {int(parts)}"))

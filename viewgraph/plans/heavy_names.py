@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.heavy_keys import distinct_rows, heavy, key_profile
+from ..operators.heavy_keys import BUCKET, folded, heavy, key_profile
 from ..session import table
 
-_KEY = ["scene", "recon", "image_id", "idx"]
-
-
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct observations."""
-    return distinct_rows(table(spark, sf_dir, "observation"), [*_KEY, "name"], ["x", "y", "point3d_id"])
-
 
 def observation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, rows, scenes, points, mean_x, mean_y, total over distinct observations. A point3d_id of -1 is no point."""
-    rows = observations(spark, sf_dir).withColumn("point", F.when(F.col("point3d_id") >= 0, F.col("point3d_id")))
-    return key_profile(rows, "name", {"scenes": ["scene"], "points": ["scene", "recon", "point"]}, {"mean_x": "x", "mean_y": "y"})
+    point = F.when(F.col("point3d_id") >= 0, F.col("point3d_id"))
+    rows = table(spark, sf_dir, "observation").select("name", "scene", "recon", "image_id", "idx", "x", "y", point.alias("point"))
+    # Images of one name in a reconstruction are one part. Equal points share a bucket; rows without one are spread by their place.
+    bucket = F.floor(F.coalesce(F.col("point"), -1 - F.col("idx")) / BUCKET)
+    rows = folded(rows, ["name", "scene", "recon"], ["image_id", "idx"], ["x", "y", "point"], bucket)
+    return key_profile(rows, "name", ["scene", "recon"], "point", "scene", {"mean_x": "x", "mean_y": "y"}, ("points", "scenes"))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (sample_uid, key of imgs) entries."""
+def entry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, rows, scenes, total over distinct (sample_uid, key of imgs) entries."""
     rows = table(spark, sf_dir, "sampled_case").select("sample_uid", "scene", F.explode(F.map_keys("imgs")).alias("name"))
-    return distinct_rows(rows, ["sample_uid", "name"], ["scene"])
+    rows = folded(rows, ["name", "scene"], ["sample_uid"], [], F.floor(F.col("sample_uid") / BUCKET))
+    return key_profile(rows, "name", ["scene"], group="scene", names=("", "scenes"))
 
 
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +34,13 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results per name of the entries of sampled_case.imgs, for all names."""
-    return key_profile(entries(spark, sf_dir), "name", {"scenes": ["scene"]}, {}).select("name", "rows", "scenes")
+    return entry_profile(spark, sf_dir).select("name", "rows", "scenes")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names with more than 1/50 of all distinct observations or entries."""
-    seen = heavy(key_profile(observations(spark, sf_dir), "name", {}, {})).select(F.lit("observation").alias("table_name"), "name")
-    sampled = heavy(key_profile(entries(spark, sf_dir), "name", {}, {})).select(F.lit("sampled_case").alias("table_name"), "name")
+    """Names with more than 1/50 of all distinct observations or entries: those of the whole profiles that are heavy."""
+    seen = heavy(observation_profile(spark, sf_dir)).select(F.lit("observation").alias("table_name"), "name")
+    sampled = heavy(entry_profile(spark, sf_dir)).select(F.lit("sampled_case").alias("table_name"), "name")
     return seen.unionAll(sampled)
 
 
