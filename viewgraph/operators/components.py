@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import Workspace, Written, small
+from ..scale import Workspace, Written, attach, small
 
 
 def mark_of_links() -> Column:
@@ -19,17 +19,23 @@ def minimum_propagation(space: Workspace, links: Written) -> Written:
     links: distinct rows with src > dst and mark_of_links as mark. In each round every vertex hands the least vertex near
     it to its greater neighbours, then to the smaller ones and itself. That keeps components as
     they are and shortens paths to a logarithm of rounds. Rounds end when the links stay the same.
+
+    A vertex may have any share of the links. Minima are aggregated before the shuffle and written, so the join
+    that hands them out is either a broadcast (up to BROADCAST_ROWS) or has exchanges on both sides, where
+    adaptive execution splits a hot vertex over tasks.
     """
     now = links
     while now.rows:
         there = now.df.unionAll(now.df.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = there.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = there.join(least, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        floor = large.groupBy("src").agg(F.min("dst").alias("m"))
-        below = large.join(floor, "src").where(F.col("dst") != F.col("m")).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        after = space.write(below.unionAll(floor.withColumnRenamed("m", "dst")).distinct(), mark_of_links())
+        least = space.write(there.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")))
+        handed = there.where(F.col("dst") > F.col("src")).join(small(least.df, least.rows), "src")
+        large = space.write(handed.select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct())
+        floor = space.write(large.df.groupBy("src").agg(F.min("dst").alias("m")))
+        below = large.df.join(small(floor.df, floor.rows), "src").where(F.col("dst") != F.col("m")).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        after = space.write(below.unionAll(floor.df.withColumnRenamed("m", "dst")).distinct(), mark_of_links())
         same = (after.rows, after.mark) == (now.rows, now.mark)
-        now.drop()
+        for written in (now, least, large, floor):
+            written.drop()
         now = after
         if same:
             break
@@ -41,14 +47,27 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     vertices (id) and edges (src, dst) have ids of any one comparable type. Edges with a null end are
     ignored, and vertices of edges that are missing in vertices are added. A vertex without edges is its own component.
+    Ids that are no longs are numbered first, so that rounds move pairs of longs.
     """
     space = Workspace(edges.sparkSession, "components")
     ends = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    links = ends.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    stars = minimum_propagation(space, space.write(links, mark_of_links()))
-    alone = vertices.where(F.col("id").isNotNull()).select("id").distinct().join(stars.df.select(F.col("src").alias("id")), "id", "left_anti")
-    roots = alone.unionAll(stars.df.select(F.col("dst").alias("id"))).distinct()
-    return stars.df.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionAll(roots.select("id", F.col("id").alias("component")))
+    links = space.write(ends.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), mark_of_links())
+    if dict(links.df.dtypes)["src"] in ("bigint", "int", "smallint", "tinyint"):
+        stars = minimum_propagation(space, links)
+        labels = stars.df.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+        labels = labels.unionAll(labels.select(F.col("component").alias("id"), "component").distinct())
+    else:
+        linked = links.df.select(F.col("src").alias("id")).unionAll(links.df.select(F.col("dst").alias("id"))).distinct()
+        numbers = space.write(linked.withColumn("n", F.monotonically_increasing_id()))
+        coded = attach(attach(links.df, numbers.df.toDF("src", "a"), "src", links.rows), numbers.df.toDF("dst", "b"), "dst", links.rows)
+        coded = space.write(coded.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")), mark_of_links())
+        stars = minimum_propagation(space, coded)
+        roots = numbers.df.join(small(stars.df.toDF("n", "root"), stars.rows), "n", "left").select("id", F.coalesce("root", "n").alias("root"))
+        roots = space.write(roots)
+        names = roots.df.groupBy("root").agg(F.min("id").alias("component"))
+        labels = attach(roots.df, names, "root", roots.rows).select("id", "component")
+    alone = vertices.where(F.col("id").isNotNull()).select("id").distinct().join(labels.select("id"), "id", "left_anti")
+    return labels.unionAll(alone.select("id", F.col("id").alias("component")))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

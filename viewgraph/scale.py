@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 
 #: Rows below which a side of two or three narrow columns is broadcast (some 32 MB).
 BROADCAST_ROWS = 1_000_000
+#: The same for a side that holds names.
+BROADCAST_NAMES = 250_000
 #: A key with more than this share of all rows counts as hot; there are at most 1000 such keys.
 HOT_SHARE = 1e-3
 
