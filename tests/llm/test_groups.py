@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from viewgraph.llm.consolidate import consolidate
+from viewgraph.llm.consolidate import consolidate, least_of_components
 from viewgraph.llm.splits import assign_splits, greedy_shares, related_groups, union_find
 from viewgraph.scale import Workspace
 
@@ -33,14 +34,24 @@ def random_links(seed):
     return links
 
 
-@pytest.mark.parametrize("rounds", [0, 2, 200])
-def test_groups_equal_union_find_for_every_depth_of_peeling(spark, rounds):
-    links = random_links(rounds)
+@pytest.mark.parametrize(("much", "task_links"), [(0, 1), (0, 10**6), (10**9, 10**6), (20, 30)])
+def test_groups_equal_union_find_for_every_depth_of_peeling(spark, monkeypatch, much, task_links):
+    monkeypatch.setattr("viewgraph.llm.consolidate.MUCH", much)  # 0: one round, 10**9: until nothing is reached
+    links = random_links(much % 7)
     df = spark.createDataFrame(links, "scene string, src string, dst string").withColumn("name", F.lit("clash")).withColumn("id", F.lit(7))
     want = set()
     for scene in "st":
         want |= {(scene, n, g) for n, g in brute([(a, b) for s, a, b in links if s == scene and a != b]).items()}
-    assert {tuple(r) for r in consolidate(df, graph_cols=("scene",), max_peel_rounds=rounds).collect()} == want
+    assert {tuple(r) for r in consolidate(df, graph_cols=("scene",), task_links=task_links).collect()} == want
+
+
+def test_least_of_components_of_long_chains():
+    rng = np.random.default_rng(3)
+    name = rng.permutation(5000)
+    src, dst = name[:-1][np.arange(4999) % 100 != 99], name[1:][np.arange(4999) % 100 != 99]
+    ids, roots = least_of_components(src, dst)
+    want = brute(zip(src.tolist(), dst.tolist()))
+    assert dict(zip(ids.tolist(), roots.tolist())) == want
 
 
 def test_consolidate_ignores_nulls_and_loops_and_keeps_null_graphs(spark):
