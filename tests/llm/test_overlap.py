@@ -4,7 +4,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from viewgraph.llm.cooccur import BLOCK, cooccurrence
+from viewgraph.llm.cooccur import BLOCK, at_least_times_chance, cooccurrence
 from viewgraph.llm.overlap import expand, needed_grams, overlaps, photo_of
 
 
@@ -98,3 +98,10 @@ def test_cooccurrence_counts(spark):
     assert r.lift == 1.0 and r.conviction is None
     assert cooccurrence(df.limit(0), "id", "items", ("scene",)).collect() == []
     assert {(r.item_a, r.item_b, r.n_ab) for r in cooccurrence(df.where("scene = 'h'"), "id", "items").collect()} == {(1, 2, 2)}
+
+
+def test_counts_of_billions_are_compared_exactly(spark):
+    big = 4_000_000_000
+    rows = [(big, big, big, big), (big, big, big, 2 * big), (big // 2, big, big, big), (big, big, big, 2 * big - 1)]
+    df = spark.createDataFrame(rows, "n_ab long, n_a long, n_b long, n long")
+    assert [r[0] for r in df.select(at_least_times_chance(2)).collect()] == [False, True, False, False]

@@ -2,16 +2,18 @@
 
 The method: basket collapsing. Identical sets of items become one basket with a weight, pairs
 are enumerated once per distinct basket, and their weights are summed before and after the
-shuffle. Long baskets are cut into blocks; a row then holds two blocks at most, and the pairs
-of a basket of any length are enumerated by many tasks.
+shuffle. Baskets are first put in order, in ranges of equal weight that no basket is too hot for, as each
+occurs once: those that share items come to the same task, which sums their pairs before the shuffle. Long
+baskets are cut into blocks; a row then holds two blocks at most, and the pairs of a basket of any length are
+enumerated by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import Workspace
+from ..scale import BROADCAST_NAMES, Workspace, small
 
 #: Items in a block; a task enumerates at most BLOCK² pairs from a row.
 BLOCK = 128
@@ -39,7 +41,9 @@ def cooccurrence(records: DataFrame, record: str, items: str, group_cols: tuple[
     to the number expected by chance. conviction of a -> b = (1 - n_b / n) / (1 - n_ab / n_a); it is
     null where a never comes without b. Null group columns match nothing and give no rows.
     """
-    found = Workspace(records.sparkSession, "cooccurrence").write(baskets(records, record, items, group_cols)).df
+    space = Workspace(records.sparkSession, "cooccurrence")
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = space.write(baskets(records, record, items, group_cols).repartitionByRange(tasks, *group_cols, "basket")).df
     partners = F.when(F.col("same"), F.slice("right", F.col("p") + 2, BLOCK)).otherwise(F.col("right"))
 
     def enumerated(halves: DataFrame) -> DataFrame:
@@ -53,18 +57,31 @@ def cooccurrence(records: DataFrame, record: str, items: str, group_cols: tuple[
     long = found.where(F.size("basket") > BLOCK).select(*group_cols, "weight", "basket", n_blocks.alias("n"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("i"))
     long = long.select(*group_cols, "weight", "basket", "i", F.explode(F.sequence(F.col("i"), F.col("n") - 1)).alias("j"))
     halves = long.select(*group_cols, "weight", block("i").alias("left"), (F.col("i") == F.col("j")).alias("same"), block("j").alias("right"))
-    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.unionAll(enumerated(halves.repartition(tasks)))
     together = pairs.groupBy(*group_cols, "item_a", "item_b").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= least)
 
     single = found.select(*group_cols, "weight", F.explode("basket").alias("item")).groupBy(*group_cols, "item").agg(F.sum("weight").alias("n_item"))
+    totals = space.write(found.groupBy(*group_cols).agg(F.sum("weight").alias("n")))
+    # A group, or an item with its many partners, may hold most rows: both sides of the joins are tables or exchanges, so that a hot
+    # key is broadcast or split, and single is written for that.
     if group_cols:
-        single = single.join(found.groupBy(*group_cols).agg(F.sum("weight").alias("n")), list(group_cols))
+        single = space.write(single.join(small(totals.df, totals.rows, BROADCAST_NAMES), list(group_cols)))
     else:
-        single = single.crossJoin(found.agg(F.sum("weight").alias("n")))  # one row, not a cross join of tables
-    of_a = single.select(*group_cols, F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n")
-    of_b = single.select(*group_cols, F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
-    out = together.join(of_a, [*group_cols, "item_a"]).join(of_b, [*group_cols, "item_b"])
-    lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
-    conviction = F.when(F.col("n_ab") < F.col("n_a"), (1 - F.col("n_b") / F.col("n")) / (1 - F.col("n_ab") / F.col("n_a")))
+        single = space.write(single.crossJoin(F.broadcast(totals.df)))  # one row, not a cross join of tables
+    of_a = single.df.select(*group_cols, F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n")
+    of_b = single.df.select(*group_cols, F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
+    together = space.write(together)
+    out = together.df
+    for side, end in ((of_a, "item_a"), (of_b, "item_b")):
+        out = out.join(small(side, single.rows, BROADCAST_NAMES), [*group_cols, end])
+    share = lambda a, b: F.col(a).cast("double") / F.col(b)
+    product = lambda a, b: F.col(a).cast("double") * F.col(b)  # noqa: E731  # of longs it would overflow
+    lift = product("n_ab", "n") / product("n_a", "n_b")
+    conviction = F.when(F.col("n_ab") < F.col("n_a"), (1 - share("n_b", "n")) / (1 - share("n_ab", "n_a")))
     return out.select(*group_cols, "item_a", "item_b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), conviction.alias("conviction"))
+
+
+def at_least_times_chance(times: int) -> Column:
+    """Whether n_ab n >= times n_a n_b, in whole numbers of 38 digits: exact for counts up to 10^18."""
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    return whole("n_ab") * whole("n") >= whole("n_a") * whole("n_b") * F.lit(times).cast("decimal(3,0)")

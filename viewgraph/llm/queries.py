@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .consolidate import consolidate
-from .cooccur import cooccurrence
+from .cooccur import at_least_times_chance, cooccurrence
 from .leaks import leaked_passages
 from .overlap import expand, overlaps, photo_of
 from .packing import pack, unused
@@ -63,7 +63,7 @@ def _images(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of images with 12 or more common points, at least twice as many as by chance."""
     pairs = _images(spark, sf_dir, 12)
-    return pairs.where(F.col("n_ab") * F.col("n") >= 2 * F.col("n_a") * F.col("n_b")).select(*GRAPH, "image_id_a", "image_id_b")
+    return pairs.where(at_least_times_chance(2)).select(*GRAPH, "image_id_a", "image_id_b")
 
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
