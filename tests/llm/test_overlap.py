@@ -35,8 +35,11 @@ def near_sets(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.6, 1.0])
-def test_all_near_sets_are_found(spark, threshold):
+@pytest.mark.parametrize(("threshold", "most"), [(0.8, None), (0.6, None), (1.0, None), (0.8, 0)])
+def test_all_near_sets_are_found(spark, monkeypatch, threshold, most):
+    if most is not None:  # nothing is broadcast
+        monkeypatch.setattr("viewgraph.llm.overlap.BROADCAST_NAMES", most)
+        monkeypatch.setattr("viewgraph.llm.overlap.BROADCAST_ROWS", most)
     rows = near_sets(int(threshold * 10), 150)
     df = spark.createDataFrame(rows, "id long, split string, words array<string>").withColumn("class_id", F.lit(1)).withColumn("n", F.lit(1))
     got = {(r.record_eval, r.record_train) for r in expand(*overlaps(df, "id", "split", F.col("words"), threshold=threshold)).collect()}
