@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from viewgraph.llm.leaks import leaked_passages, myers
+from viewgraph.llm.leaks import PassageIndex, leaked_passages, least_distances, myers
 from viewgraph.llm.words import words_of
 
 
@@ -24,6 +25,33 @@ def test_myers_equals_dynamic_programming():
         assert myers(p, t) == want
 
 
+def test_distances_of_many_rows_equal_those_of_one():
+    rng = np.random.default_rng(2)
+    p, t = rng.integers(1, 4, (300, 13)), rng.integers(0, 4, (300, 15))
+    assert least_distances(p, t).tolist() == [min(myers(a, b)) for a, b in zip(p.tolist(), t.tolist())]
+
+
+@pytest.mark.parametrize("n_items", [20, 400])
+def test_a_line_that_all_items_share_proposes_only_what_matches(n_items):
+    line = [f"licence{i}" for i in range(10)]
+    items = [(i, [f"a{i}_{k}" for k in range(8)] + line + [f"b{i}_{k}" for k in range(8)]) for i in range(n_items)]
+    index = PassageIndex(items, 13, 1)
+    code = [index.vocabulary[w] for w in line] * 500
+    gap = [0] * 20
+    assert len(index.candidates(np.array(gap + code + gap))[0]) == 0
+    one = [index.vocabulary[w] for w in items[3][1]]
+    at, passage, errors = index.matches(np.array(gap + code + one + code + gap))
+    assert 14 <= len(set(passage.tolist())) <= 20 and errors.min() == 0 and len(at) < 600
+
+
+def test_items_with_equal_passages_are_put_to_them_at_the_end():
+    text = [f"w{i}" for i in range(30)]
+    index = PassageIndex([(i, text) for i in range(50)], 13, 1)
+    assert len(index.patterns) == 18 and index.sizes.tolist() == [50]
+    rows = index.leaks([7, 8], [text[3:20], ["no"] * 40])
+    assert sorted(rows.column(0).to_pylist()) == list(range(50)) and set(rows.column(1).to_pylist()) == {7} and set(rows.column(2).to_pylist()) == {0}
+
+
 def test_words():
     assert words_of("Foo_bar-BAZ 3.5\n x") == ["foo", "bar", "baz", "3", "5", "x"]
     assert words_of("运行280次abcカタ") == ["运", "行", "280", "次", "abc", "カ", "タ"]

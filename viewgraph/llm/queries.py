@@ -136,7 +136,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with 13 consecutive words of an item: the hits without any error."""
+    """Documents with 13 consecutive words of an item: the hits at which Myers' distance is 0."""
     return _leaks(spark, sf_dir).where("errors = 0").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
 
 
@@ -173,6 +173,16 @@ _TRACKS = """
     r AS (SELECT p.*, n.n, x.k AS n_a, y.k AS n_b FROM p JOIN n USING (scene, recon)
           JOIN i x ON (x.scene, x.recon, x.image) = (p.scene, p.recon, p.image_id_a)
           JOIN i y ON (y.scene, y.recon, y.image) = (p.scene, p.recon, p.image_id_b))"""
+_CHARACTER = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}"
+
+
+def _runs_sql(name: str, table: str, key: str, n: int = 13) -> str:
+    """All runs of n words: characters of the ranges get blanks around them and are words of their own."""
+    apart = f"regexp_replace(lower(text), '([{_CHARACTER}])', ' \\1 ', 'g')"
+    return f"""{name}_w AS (SELECT {key}, regexp_extract_all({apart}, '[\\p{{L}}\\p{{N}}{_CHARACTER}]+') AS w FROM {table} WHERE {key} IS NOT NULL),
+        {name} AS (SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS run FROM {name}_w, unnest(range(1, len(w) - {n - 2})) AS t(i))"""
+
+
 _BYTES = "SELECT DISTINCT container_kind, doc_id FROM documents, container_size WHERE strlen(text) > capacity_tokens"
 
 SQL = {
@@ -207,4 +217,5 @@ SQL = {
         torn AS (SELECT group_name FROM g JOIN recon_split s ON s.scene_recon_name = g.name GROUP BY group_name HAVING count(DISTINCT split) > 1)
         SELECT name AS scene_recon_name, group_name FROM g WHERE group_name IN (SELECT group_name FROM torn)""",
     "p6_found": _BYTES,
+    "p7_found": f"WITH {_runs_sql('a', 'eval_items', 'item_id')}, {_runs_sql('b', 'documents', 'doc_id')} SELECT DISTINCT item_id, doc_id FROM a JOIN b USING (run)",
 }
