@@ -1,10 +1,12 @@
 """Sentence boundaries across languages and scripts.
 
 The method: semi-Markov dynamic programming. A block of text (a paragraph or list entry) is cut
-into whole sentence spans so that the sum of the spans' scores is greatest. A span's score looks at
-its length, its opening word, its closing word and mark, and whether quotations and brackets
-in it are balanced, all together; no boundary is decided by itself. Candidates for ends are
-marks that can close a sentence and, between two Thai characters, blanks.
+into whole sentence spans so that the sum of the spans' scores is greatest. A span's score adds up
+its length, the word that opens the next one, its closing word and mark, and the quotations and brackets that it
+leaves open or closes without having opened them, or that it ends with without being whole; the program weighs
+them against each other over the whole block. Candidates for ends are marks that can close a sentence, within
+quotations too, and, between two Thai characters, blanks. There are no labelled sentences to fit weights to,
+so the weights are parameters set by hand, below.
 
 Blocks come from the layout of a commit message: its first line, trailer lines, list entries
 and blank lines bound sentences whatever stands there.
@@ -43,7 +45,7 @@ TRAILER_KEYS = frozenset("fixes closes refs cc link bug resolves see change-id r
 
 _TRAILER = re.compile(r"([A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*): \S")
 _PICKED = re.compile(r"\(cherry[- ]picked from commit [0-9a-f]+\)$")
-_LIST = re.compile(r"[ \t]*(?:[-*•]|(\d{1,9})\.)[ \t]+(?=\S)")
+_LIST = re.compile(r"[ \t]*(?:[-*]|\d+\.)[ \t]+(?=\S)")
 _OPEN, _CLOSE = "([{（［【〔「『《〈", ")]}）］】〕」』》〉"
 _CLOSERS = _CLOSE + "\"”“»«’"
 _WIDE = "。！？｡"
@@ -55,7 +57,10 @@ _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _CODE = re.compile(r"`|v\d+\.\d|\w*[a-z0-9][A-Z]\w*|\w+_\w*|\w+\(\)|\w+(?:\.\w+)*\(|https?://|[\w-]+/[\w./-]+|\w+\.(?:py|js|c|h|md|yaml|json|txt)\b")
 _BLANKS = " \t\n\r  　​"
 _NONE = -1e9
+#: Characters from which on a span loses two thousandths for each.
 _LONG = 400
+#: What a span loses, in thousandths, for each quotation or bracket that it leaves open at an end.
+_CROSSED = 8000
 
 
 def pairs_of(text: str) -> list[int]:
@@ -143,10 +148,10 @@ def _word_before(text: str, end: int) -> str:
 class Cut:
     """A place where a sentence may end, and the next one begin."""
 
-    __slots__ = ("end", "next", "score", "quote_start", "greek")
+    __slots__ = ("end", "next", "score", "quote_start", "greek", "depth")
 
-    def __init__(self, end: int, following: int, score: float, quote_start: int = -1, greek: bool = False):
-        self.end, self.next, self.score, self.quote_start, self.greek = end, following, score, quote_start, greek
+    def __init__(self, end: int, following: int, score: float, quote_start: int = -1, greek: bool = False, depth: int = 0):
+        self.end, self.next, self.score, self.quote_start, self.greek, self.depth = end, following, score, quote_start, greek, depth
 
 
 def _closing(text: str, start: int, marks: str, following: int, spaced: bool) -> tuple[float, bool]:
@@ -201,13 +206,11 @@ def cuts(text: str, depth: list[int]) -> list[Cut]:
         if following >= n:
             continue
         last = end - 1
-        inside = depth[last]
-        if inside > 0:
-            continue  # within a quotation or bracket
+        inside = depth[last]  # how many quotations and brackets are open there
         marks = m.group().rstrip(_CLOSERS + _BLANKS)
         score, greek = _closing(text, m.start(), marks, following, spaced)
         quote_start = -1
-        if end - m.start() > len(marks):  # closers: where does what they close begin?
+        if end - m.start() > len(marks) and not inside:  # closers: where does what they close begin?
             i = last
             while i > 0 and depth[i - 1] > 0:
                 i -= 1
@@ -216,10 +219,9 @@ def cuts(text: str, depth: list[int]) -> list[Cut]:
                 quote_start = -1
         if wide and text[following] in "，、,；;：:—」』）)”»":
             score = -8.0
-        out.append(Cut(end, following, score, quote_start, greek))
+        out.append(Cut(end, following, score, quote_start, greek, inside))
     for m in _THAI_BLANK.finditer(text):
-        if not depth[m.start() - 1]:
-            out.append(Cut(m.start(), m.end(), 4.0))
+        out.append(Cut(m.start(), m.end(), 4.0, depth=depth[m.start() - 1]))
     out.sort(key=lambda c: c.end)
     out.append(Cut(n, n, 0.0))
     return out
@@ -252,8 +254,8 @@ def segment(text: str) -> list[tuple[int, int]]:
     Scores are whole thousandths, so that sums don't depend on their order; of equal ones the latest start wins.
     A span of _LONG characters or more loses in proportion to its length, so of all starts that far back the
     one with the greatest score + 2 start is best for every end, and is kept as candidates go by. Only
-    nearer starts are tried one by one, and those from the opening of a quotation that the span ends with,
-    of which there is one at most, as quotations hold no candidates. Time is in proportion to length.
+    nearer starts are tried one by one, and those from the opening of a quotation that the span ends with.
+    Time is in proportion to length, and to that of quotations once for each that is nested in another.
     """
     depth = pairs_of(text)
     ends = cuts(text, depth)
@@ -261,6 +263,7 @@ def segment(text: str) -> list[tuple[int, int]]:
         return [(0, len(text))]
     starts = [0] + [c.next for c in ends[:-1]]
     greek = [m.start() for m in _GREEK.finditer(text)]
+    # A boundary within quotations leaves them open on both sides; the start's share is in best already.
     best: list[int | None] = [0] + [None] * len(ends)  # None: no sentence ends there
     back = [0] * (len(ends) + 1)
     top: list[int] = []  # of the starts up to each, that with the greatest best + 2 start
@@ -278,7 +281,7 @@ def segment(text: str) -> list[tuple[int, int]]:
         low, loss = bisect_right(starts, cut.end - _LONG, 0, last + 1), _unbalanced(text, cut)
         if loss:
             low = min(low, bisect_left(starts, cut.quote_start, 0, last + 1))
-        score = round(cut.score * 1000)
+        score = round(cut.score * 1000) - 2 * _CROSSED * cut.depth
         for i in (*range(last, low - 1, -1), *top[max(low - 1, 0) : low]):
             if best[i] is not None:
                 s = best[i] + score + _length(cut.end - starts[i]) - (loss if cut.quote_start > starts[i] else 0)
@@ -307,7 +310,6 @@ def blocks(message: str) -> Iterator[tuple[int, int, bool]]:
     at, first = 0, True
     open_at = -1  # start of the block that lines go on
     last = 0  # its end so far
-    number = 0  # of the list entry before
     for line in message.split("\n"):
         start, end = at, at + len(line)
         at = end + 1
@@ -327,23 +329,12 @@ def blocks(message: str) -> Iterator[tuple[int, int, bool]]:
             yield start, end, True
             continue
         m = _LIST.match(line)
-        if m and m.group(1):
-            n = int(m.group(1))
-            before = _word_before(message, last).lower().rstrip(".") if open_at >= 0 else ""
-            wrapped = before in BEFORE_NUMBER or before == "№" or (open_at >= 0 and n not in (1, number + 1))
-            if open_at >= 0 and re.match(r"\w*", line[m.end() :]).group().lower() in MONTHS:
-                wrapped = True
-            if wrapped:
-                m = None
-            else:
-                number = n
         if m:
             if open_at >= 0:
                 yield open_at, last, False
             open_at = start + m.end()
         elif open_at < 0:
             open_at = start
-            number = 0
         last = end
     if open_at >= 0:
         yield open_at, last, False
