@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from viewgraph.operators import components as cc
 from viewgraph.operators import graph as gr
 from viewgraph.operators import samplers as sm
+from viewgraph.operators.clusters import clusters
+from viewgraph.operators.walks import spread_walks
 
 K = ["scene"]
 
@@ -60,6 +62,20 @@ def test_components_forest_and_growth(spark):
     assert set(grown) == {(1, 1), (1, 2), (1, 3), (1, 4)} and grown[1, 3] == pytest.approx(0.81)
 
 
+@pytest.mark.parametrize("task_links", [0, 40, 200_000])
+def test_components_of_chains_and_hubs(spark, monkeypatch, task_links):
+    monkeypatch.setattr(cc, "TASK_LINKS", task_links)
+    rng = random.Random(4)
+    links = [(f"c{i:03}", f"c{i + 1:03}") for i in range(90)] + [(f"h{i:03}", "hub") for i in range(60)] + [(f"r{rng.randrange(60)}", f"r{rng.randrange(60)}") for _ in range(40)]
+    want: dict[str, set] = {}
+    for a, b in links:
+        both = want.get(a, {a}) | want.get(b, {b})
+        want |= dict.fromkeys(both, both)
+    df = spark.createDataFrame([*links, (None, "x")], "src string, dst string")
+    got = {r.id: r.component for r in cc.connected_components(spark.createDataFrame([("alone",), (None,)], "id string"), df).collect()}
+    assert got == {a: min(v) for a, v in want.items()} | {"alone": "alone"}
+
+
 def ring(n, extra=0, seed=0):
     rng = random.Random(seed)
     rows = [(f"n{i:03}", f"n{(i + 1) % n:03}") for i in range(n)] + [(f"n{a:03}", f"n{b:03}") for a, b in (rng.sample(range(n), 2) for _ in range(extra))]
@@ -111,11 +127,55 @@ def test_quotas_and_depth_first():
     assert len(tree) == 7 and len({b for _, b in tree}) == 7
 
 
-def test_skeletal_clusters_cover_and_overlap():
-    g = as_graph([(a, b, w / 100, d) for a, b, w, d in ring(20, 5, 3)])
-    out = sm.skeletal_clusters(g, tau=0.5, window=2)
-    assert set().union(*out) == set(g)
-    assert all(any(set(c) & set(o) for j, o in enumerate(out) if j != i) for i, c in enumerate(out))
+def grown(g, tau, window, centers):
+    """Clusters by trying all walks of at most `window` edges."""
+    out = {}
+    for c in centers:
+        best, front = {c: 1.0}, {c: 1.0}
+        for _ in range(window):
+            step = {}
+            for a, s in front.items():
+                for b, (w, _) in g[a].items():
+                    if s * w >= tau and s * w > max(best.get(b, 0), step.get(b, 0)):
+                        step[b] = s * w
+            best.update(step)
+            front = step
+        out[c] = set(best)
+    return out
+
+
+@pytest.mark.parametrize(("tau", "most"), [(0.5, None), (0.95, None), (0.6, 3)])
+def test_clusters_are_what_their_centres_reach(spark, tau, most):
+    rows = [*{(a, b): (a, b, w / 100, d) for a, b, w, d in ring(20, 5, 3)}.values(), ("y1", "y2", 0.7, 1.0)]
+    g = as_graph(rows)
+    df = spark.createDataFrame([("s", *r) for r in rows] + [("t", "n001", "n002", 0.9, 1.0), ("t", None, "n002", 0.9, 1.0)], "scene string, src string, dst string, weight double, distance double")
+    got = {}
+    for r in clusters(df, K, tau=tau, window=2, min_weight=0.0, overlap=False, most=most).collect():
+        got.setdefault((r.scene, r.cluster), set()).add(r.id)
+    assert got["t", "n001"] == ({"n001", "n002"} if tau <= 0.9 or most else {"n001"})
+    mine = {c: v for (s, c), v in got.items() if s == "s"}
+    if most is None:
+        assert mine == grown(g, tau, 2, list(g))
+    else:
+        centers = sorted(g, key=lambda a: (-len(g[a]), a))[:most]
+        assert all(mine[c] >= v for c, v in grown(g, tau, 2, centers).items()) and set().union(*mine.values()) == set(g)
+    over = {}
+    for r in clusters(df, K, tau=tau, window=2, min_weight=0.0, most=most).where("scene = 's'").collect():
+        over.setdefault(r.cluster, set()).add(r.id)
+    assert all(any(v & o for k, o in over.items() if k != c) for c, v in over.items() if any(b not in v for a in v for b in g[a]))
+    assert clusters(df.limit(0), K).collect() == []
+
+
+def test_walks_spread_over_communities():
+    g = as_graph([(f"{c}{i}", f"{c}{j}", 1.0, 0.1) for c in "abcd" for i in range(6) for j in range(i + 1, 6)] + [(f"{c}0", f"{e}0", 1.0, 1.0) for c in "abcd" for e in "abcd" if c < e])
+    community = {a: "abcd".index(a[0]) for a in g}
+    for branching in (False, True):
+        walks = spread_walks(g, 8, community, np.random.default_rng(1), trials=64, top_k=5, branching=branching)
+        assert walks == spread_walks(g, 8, community, np.random.default_rng(1), trials=64, top_k=5, branching=branching) and len(walks) == 5
+        for w in walks:
+            assert len(w) == len(set(w)) and {a[0] for a in w} == set("abcd")
+            assert all(any(b in g[a] for a in w[:i]) for i, b in enumerate(w) if i)
+    assert spread_walks(g, 99, community, np.random.default_rng(1)) == [list(g)]
 
 
 def test_scene_samples_do_not_depend_on_partitions(spark):
@@ -124,7 +184,7 @@ def test_scene_samples_do_not_depend_on_partitions(spark):
     a = sm.scene_samples(df, K, 12, 3, trials=8, top_k=2)
     got = sorted(map(tuple, a.collect()))
     assert got == sorted(map(tuple, sm.scene_samples(df.repartition(7), K, 12, 3, trials=8, top_k=2).collect()))
-    assert {r[0] for r in got} == {"s"} and {sum(1 for r in got if r[1] == c) for c in {r[1] for r in got}} == {12}
+    assert {r[1] for r in got} <= {0, 1, 2} and {r[0] for r in got} == {"s"} and {sum(1 for r in got if r[1] == c) for c in {r[1] for r in got}} == {12}
     mask = sm.neighbour_mask(a.where("case = 0"), df, K).collect()
     assert len(mask) == 144 and all(r.linked for r in mask if r.i == r.j)
 

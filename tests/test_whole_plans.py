@@ -1,7 +1,4 @@
-import pytest
-
-from viewgraph.llm import queries as llm
-from viewgraph.operators import samplers
+from viewgraph.operators import clusters, samplers
 from viewgraph.plans import depth, graphs
 
 
@@ -18,13 +15,13 @@ def test_skeletal_clusters_come_from_a_connected_graph(spark, tmp_path, monkeypa
     rows = [(i, "a", near(i // 4, i % 4)) for i in range(8)]
     spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     seen = []
-    monkeypatch.setattr(samplers, "clusters", lambda edges, *a, **k: seen.append(edges))
+    monkeypatch.setattr(clusters, "clusters", lambda edges, *a, **k: seen.append(edges))
     graphs.skeletal_clusters(spark, str(tmp_path))
-    parts = {str(i): {str(i)} for i in range(8)}
+    parts = {i: {i} for i in range(8)}
     for r in seen[0].collect():
         both = parts[r.src] | parts[r.dst]
         parts |= dict.fromkeys(both, both)
-    assert parts["0"] == {str(i) for i in range(8)}
+    assert parts[0] == set(range(8))
 
 
 def test_events_are_those_of_the_two_least_types(spark, monkeypatch):
@@ -32,11 +29,3 @@ def test_events_are_those_of_the_two_least_types(spark, monkeypatch):
     df = spark.createDataFrame(rows, "seq string, event_id long, event_type string, us double, value double")
     monkeypatch.setattr(depth, "_walk", lambda *a: df)
     assert [tuple(r) for r in depth.asof_events(spark, "folder").collect()] == [("u", 0, 1e-6)]
-
-
-def test_too_many_split_targets_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(llm, "_entries", lambda *a: (None, None))
-    monkeypatch.setattr(llm, "table", lambda *a: spark.range(1001).selectExpr("string(id) AS split", "1.0D AS proportion"))
-    monkeypatch.setattr(llm, "assign_splits", lambda *a: spark.createDataFrame([("a",)], "name string"))
-    with pytest.raises(ValueError, match="1000"):
-        llm.p4_splits(spark, "folder")

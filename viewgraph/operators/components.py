@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import Workspace, Written, attach, small
 
+#: Links that one task may hold.
+TASK_LINKS = 200_000
+
 
 def mark_of_links() -> Column:
     """Order-free mark of a table of links, by which a round without change is seen."""
     return F.bit_xor(F.xxhash64("src", "dst"))
 
 
+def least_of_components(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, least vertex of the component of each): every vertex takes the least label around it, and labels
+    take the labels of what they name, until nothing changes."""
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    label = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, label[end], low)
+            np.minimum.at(label, end, low)
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+        if before.tobytes() == label.tobytes():
+            return ids, ids[label]
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            ids, roots = least_of_components(*(np.concatenate(x) for x in zip(*held)))
+            below = ids != roots
+            yield pa.RecordBatch.from_arrays([pa.array(ids[below]), pa.array(roots[below])], names=["src", "dst"])
+
+    return links.select(F.col("src").cast("long"), F.col("dst").cast("long")).coalesce(1).mapInArrow(each, "src long, dst long")
+
+
 def minimum_propagation(space: Workspace, links: Written) -> Written:
     """(src, dst): each vertex with a link, but for the least of its component, with that least one.
 
@@ -22,10 +58,12 @@ def minimum_propagation(space: Workspace, links: Written) -> Written:
 
     A vertex may have any share of the links. Minima are aggregated before the shuffle and written, so the join
     that hands them out is either a broadcast (up to BROADCAST_ROWS) or has exchanges on both sides, where
-    adaptive execution splits a hot vertex over tasks.
+    adaptive execution splits a hot vertex over tasks. TASK_LINKS and fewer propagate in the arrays of one task.
     """
     now = links
     while now.rows:
+        if now.rows <= TASK_LINKS:
+            return space.write(_in_one_task(now.df))
         there = now.df.unionAll(now.df.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = space.write(there.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")))
         handed = there.where(F.col("dst") > F.col("src")).join(small(least.df, least.rows), "src")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators import clusters as cl
 from ..operators import components as cc
 from ..operators import graph as gr
 from ..operators import samplers
@@ -144,11 +145,7 @@ def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def connected_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k=1 graph of each label made connected by the strongest edges between its components."""
-    edges = _similar(spark, sf_dir)
-    local = gr.strongest(edges, ["label"], 1)
-    vertices = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
-    tree = cc.spanning_forest(vertices, _numbered(edges))
-    return local.select("src", "dst").unionAll(tree.select("src", "dst")).distinct()
+    return cl.connected_neighbours(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding").select("src", "dst")
 
 
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +174,8 @@ def dfs_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skeletal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of each label's k=1 graph, made connected first so that no part is cut off from the rest."""
-    edges = _similar(spark, sf_dir).join(connected_knn(spark, sf_dir), ["src", "dst"], "left_semi")
-    edges = edges.select("label", "src", "dst", "weight").withColumns({c: F.col(c).cast("string") for c in ("src", "dst")})
-    return samplers.clusters(edges, ["label"], tau=0.3, window=2, min_weight=0.0)
+    """Chunks of each label whose vectors look alike, from its k=1 graph made connected."""
+    return cl.chunks_by_similarity(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", tau=0.4, window=2, min_weight=0.0)
 
 
 _FUNCTIONS = (
