@@ -23,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import mark_of_links, minimum_propagation
+from ..operators.components import TASK_LINKS, least_of_components, mark_of_links, minimum_propagation
 from ..scale import BROADCAST_NAMES, BROADCAST_ROWS, Workspace, Written, attach, small
 
 #: A round of peeling must reach one in so many of the vertices that are left, or it is the last.
 MUCH = 20
-#: Links of a graph, after peeling, that one task may hold.
-TASK_LINKS = 200_000
 
 
 def consolidate(links: DataFrame, src: str = "src", dst: str = "dst", graph_cols: tuple[str, ...] = (), task_links: int = TASK_LINKS) -> DataFrame:
@@ -146,21 +144,3 @@ def _propagate(space: Workspace, rest: Written, task_links: int) -> Written:
 def _least(links: pa.Table) -> pa.RecordBatch:
     ids, roots = least_of_components(links.column(1).to_numpy(), links.column(2).to_numpy())
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["id", "root"])
-
-
-def least_of_components(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vertices, least vertex of the component of each): every vertex takes the least label around it, and labels
-    take the labels of what they name, until nothing changes."""
-    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = at[: len(src)], at[len(src) :]
-    label = np.arange(len(ids))
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        for end in (a, b):
-            np.minimum.at(label, label[end], low)
-            np.minimum.at(label, end, low)
-        while (up := label[label]).tobytes() != label.tobytes():
-            label = up
-        if before.tobytes() == label.tobytes():
-            return ids, ids[label]
