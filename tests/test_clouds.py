@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from viewgraph.operators import registration
+from viewgraph.operators import nearest, registration
 from viewgraph.plans import registry
 
 
@@ -19,23 +19,49 @@ def _brute(xyz):
     """(scene, recon, idx): (nearest true point, distance) of every point moved as the queries do."""
     out = {}
     for k, v in xyz.items():
-        p = v * 1.01 + [0.02, -0.03, 0]
+        p = v * 1.01 + [0.02, -0.03, 0] + [(k[2] * n % 101) / 1000 - 0.05 for n in (37, 59, 83)]
         out[k] = min((float(np.linalg.norm(p - w)), m[2]) for m, w in xyz.items() if m[:2] == k[:2])
     return out
 
 
-def test_whole_clouds_ask_and_search_every_point(spark, folder):
+def test_clouds_ask_and_search_every_point(spark, folder):
     at, xyz = folder
     want = _brute(xyz)
-    got = {(r.scene, r.recon, r.idx): (r.distance, r.nn) for r in registry.queries()["whole_nearest_points"](spark, at).collect()}
+    got = {(r.scene, r.recon, r.idx): (r.distance, r.nn) for r in registry.queries()["nearest_points"](spark, at).collect()}
     assert set(got) == set(want)
     assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-6) for k in want)
-    fit = {(r.scene, r.s) for r in registry.queries()["whole_similarity_fit"](spark, at).collect()}
-    assert fit == {("s", round(1 / 1.01, 5)), ("odd", round(1 / 1.01, 5))}
-    moments = {r.scene: r.n for r in registry.queries()["whole_similarity_moments"](spark, at).collect()}
+    fit = {r.scene: r.s for r in registry.queries()["similarity_fit"](spark, at).where("s is not null").collect()}
+    assert set(fit) == {"s"} and fit["s"] == pytest.approx(1 / 1.01, abs=0.02)
+    moments = {r.scene: r.n for r in registry.queries()["similarity_moments"](spark, at).collect()}
     assert moments == {"s": 29.0, "odd": 9.0}
 
 
+def test_nearest_needs_no_cell_and_takes_dense_and_distant_points(spark):
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.normal(size=(50, 3)), [[1e7, 0, 0], [0.5, 0.5, 0.5]]])
+    b = np.concatenate([rng.normal(size=(40, 3)), np.tile([[0.5, 0.5, 0.5]], (30, 1))])
+    frame = lambda p: spark.createDataFrame([("g", i, *map(float, v)) for i, v in enumerate(p)] + [("g", 999, float("nan"), 0.0, 0.0), ("g", 998, None, 0.0, 0.0)], "k string, idx long, x double, y double, z double")
+    got = {r.idx: (r.nn, r.distance) for r in nearest.nearest(frame(a), frame(b), ["k"]).collect()}
+    d = np.linalg.norm(a[:, None] - b[None], axis=-1)
+    assert len(got) == len(a) and all(got[i] == (d[i].argmin(), pytest.approx(d[i].min())) for i in range(len(a)))
+    near = {r.idx for r in nearest.nearest(frame(a), frame(b), ["k"], radius=0.7).collect()}
+    assert near == {i for i in range(len(a)) if d[i].min() <= 0.7}
+
+
+def test_normals_are_those_of_the_nearest_points(spark):
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(size=(60, 3)) * [3, 3, 0.05], [[40, 1, 0]]])
+    rows = [("g", i, *map(float, v)) for i, v in enumerate(p)] + [("two", 1, 0.0, 0.0, 0.0), ("two", 2, 1.0, 0.0, 0.0), ("g", 99, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, idx long, x double, y double, z double")
+    got = {(r.k, r.idx): np.array([r.nx, r.ny, r.nz]) for r in registration.normals(df, ["k"], 8).collect()}
+    assert len(got) == 63 and all(np.linalg.norm(v) == pytest.approx(1) for v in got.values())
+    for i in range(61):
+        near = p[np.argsort(((p - p[i]) ** 2).sum(1), kind="stable")[:8]]
+        want = np.linalg.eigh(np.cov(near.T))[1][:, 0]
+        assert abs(want @ got["g", i]) == pytest.approx(1, abs=1e-6)
+    assert registration.normals(df.limit(0), ["k"]).collect() == []
+
+
 def test_every_sequence_has_a_residual(spark, folder):
     got = {r.scene: r.residual for r in registry.queries()["icp_residual"](spark, folder[0]).collect()}
     assert set(got) == {"s", "odd"}

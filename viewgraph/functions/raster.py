@@ -103,11 +103,11 @@ def cut_small(z: np.ndarray, least: int = 50) -> np.ndarray:
     return np.where((size < least)[labels] | ~core, 0, z)
 
 
-def clean(z: np.ndarray, classes: np.ndarray, pho: np.ndarray | None = None) -> np.ndarray:
+def clean(z: np.ndarray, classes: np.ndarray, pho: np.ndarray | None = None, least_pixels: int = 50) -> np.ndarray:
     """All of the above in order."""
     if pho is not None:
         z = swap_photometric(z, pho)
-    return cut_small(cut_sky(cut_sparse_objects(cut_unstable(cut_gradient(z)), classes), classes))
+    return cut_small(cut_sky(cut_sparse_objects(cut_unstable(cut_gradient(z)), classes), classes), least_pixels)
 
 
 def cut_by_prior(z: np.ndarray, prior: np.ndarray, ok: np.ndarray, by_gradient: bool = False, error: float = 0.2, slope: float = 0.2) -> np.ndarray:

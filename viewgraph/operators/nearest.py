@@ -8,50 +8,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..scale import Workspace
+from ..scale import BROADCAST_NAMES, Workspace, small
 
 
-def nearest(queries: DataFrame, points: DataFrame, keys: list[str], cell: float, rounds: int = 24, radius: float | None = None) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, keys: list[str], cell: float | None = None, radius: float | None = None) -> DataFrame:
     """keys, idx, nn, distance: the nearest of points (keys, idx, x, y, z) to each query of the same group.
 
     A grid of cells meets the 27 around a query by an equi-join; a neighbour within one cell's side is
-    final. Queries left over meet a grid of twice the side, and so on, so the result is exact at any
-    density and cells stay small. Ties go to the lesser idx. Queries of groups without points, and
-    points with null coordinates, give nothing. After `rounds` doublings what is left lies further away
-    than 2^rounds cells and is compared group by group. With a radius, neighbours further away give nothing
+    final. Queries left over meet a grid of twice the side, later of four times, and so on until none is left, so the
+    result is exact at any density. The first side is cell, or where that is None what gives a group as many cells as points,
+    so that a cell holds few of them; grids of later rounds hold only cells near a query that is left.
+    Ties go to the lesser idx. Queries of groups without points, and queries and
+    points with null or infinite coordinates, give nothing. With a radius, neighbours further away give nothing
     and aren't looked for.
     """
     space = Workspace(queries.sparkSession, "nearest")
-    whole = lambda df: df.where("x is not null and y is not null and z is not null")
-    left = whole(queries).select(*keys, "idx", "x", "y", "z")
-    points = space.write(whole(points).select(*keys, F.col("idx").alias("nn"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))).df
-    left = space.write(left.join(points.select(*keys).distinct(), keys, "left_semi"))
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(1e300))
+    whole = lambda df: df.where(finite("x") & finite("y") & finite("z"))
+    points = whole(points).select(*keys, F.col("idx").alias("nn"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    extent = F.greatest(*[F.max(c) - F.min(c) for c in ("px", "py", "pz")])
+    side = F.lit(float(cell)) if cell else extent / F.pow(F.count(F.lit(1)).cast("double"), F.lit(1 / 3))
+    sides = space.write(points.groupBy(*keys).agg(F.when(side > 0, side).otherwise(1.0).alias("side")))
+    known = small(sides.df, sides.rows, BROADCAST_NAMES)
+    points = space.write(points.join(known, keys)).df
+    left = space.write(whole(queries).select(*keys, "idx", "x", "y", "z").join(known, keys))
     done: DataFrame | None = None
-    side = float(cell)
-    for _ in range(rounds):
-        if not left.rows:
-            break
-        cut = lambda c, s=side: F.floor(F.col(c) / s).cast("long")
-        grid = points.withColumns({"cx": cut("px"), "cy": cut("py"), "cz": cut("pz")})
+    times, rounds = 1.0, 0
+    gap = lambda a, b: F.col(a) - F.col(b)
+    while left.rows:
+        cut = lambda c, t=times: F.floor(F.col(c) / (F.col("side") * t)).cast("long")
         around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
         asked = left.df.select("*", F.inline(around))
         asked = asked.select(*keys, "idx", "x", "y", "z", (cut("x") + F.col("a")).alias("cx"), (cut("y") + F.col("b")).alias("cy"), (cut("z") + F.col("c")).alias("cz"))
-        d = F.sqrt(sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("x", "px"), ("y", "py"), ("z", "pz"))), F.lit(0.0)))
-        best = asked.join(grid, [*keys, "cx", "cy", "cz"]).select(*keys, "idx", "nn", d.alias("distance"))
-        best = best.where(F.col("distance") <= side).groupBy(*keys, "idx").agg(F.min(F.struct("distance", "nn")).alias("n"))
+        grid = points.withColumns({"cx": cut("px"), "cy": cut("py"), "cz": cut("pz"), "reach": F.col("side") * times}).drop("side")
+        if rounds and left.rows * 27 <= BROADCAST_NAMES:
+            grid = grid.join(F.broadcast(asked.select(*keys, "cx", "cy", "cz").distinct()), [*keys, "cx", "cy", "cz"], "left_semi")
+        d = F.sqrt(gap("x", "px") * gap("x", "px") + gap("y", "py") * gap("y", "py") + gap("z", "pz") * gap("z", "pz"))
+        best = asked.join(grid, [*keys, "cx", "cy", "cz"]).select(*keys, "idx", "nn", "reach", d.alias("distance"))
+        best = best.where(F.col("distance") <= F.col("reach")).groupBy(*keys, "idx").agg(F.min(F.struct("distance", "nn")).alias("n"))
         found = space.write(best.select(*keys, "idx", "n.nn", "n.distance"))
         done = found.df if done is None else done.unionAll(found.df)
-        if radius is not None and side >= radius:
-            return done.where(F.col("distance") <= radius)
-        left = space.write(left.df.join(found.df.select(*keys, "idx"), [*keys, "idx"], "left_anti"))
-        side *= 2
-    if left.rows:  # far outliers only
-        d = F.sqrt(sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("x", "px"), ("y", "py"), ("z", "pz"))), F.lit(0.0)))
-        far = left.df.join(points, keys).groupBy(*keys, "idx").agg(F.min(F.struct(d.alias("distance"), "nn")).alias("n")).select(*keys, "idx", "n.nn", "n.distance")
-        done = far if done is None else done.unionAll(far)
+        left = left.df.join(small(found.df.select(*keys, "idx"), found.rows, BROADCAST_NAMES), [*keys, "idx"], "left_anti")
+        if radius is not None:
+            left = left.where(F.col("side") * times < radius)
+        left = space.write(left)
+        times, rounds = times * (2 if rounds < 3 else 4), rounds + 1
     if done is None:
         return left.df.select(*keys, "idx", F.col("idx").alias("nn"), F.lit(0.0).alias("distance"))
-    return done
+    return done if radius is None else done.where(F.col("distance") <= radius)
+
+
+def nearest_k(points: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """keys, idx, nn: the k nearest points to each point of its group, itself among them; ties go to the lesser idx. Of a group of fewer
+    points all. Exact: a point is done when k points lie within one cell's side; else the side grows."""
+    space = Workspace(points.sparkSession, "nearest")
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(1e300))
+    points = points.where(finite("x") & finite("y") & finite("z")).select(*keys, "idx", "x", "y", "z")
+    extent = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"])
+    n = F.count(F.lit(1))
+    side = extent * F.pow(F.least(F.lit(float(k)), n) / n, F.lit(1 / 3))
+    sides = space.write(points.groupBy(*keys).agg(F.when(side > 0, side).otherwise(1.0).alias("side"), F.least(F.lit(k), n).alias("want")))
+    whole = space.write(points.join(small(sides.df, sides.rows, BROADCAST_NAMES), keys))
+    left, times, done = whole, 1.0, None
+    gap = lambda a, b: F.col(a) - F.col(b)
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    while left.rows:
+        cut = lambda c, t=times: F.floor(F.col(c) / (F.col("side") * t)).cast("long")
+        asked = left.df.select("*", F.inline(around))
+        asked = asked.select(*keys, "idx", "want", "x", "y", "z", (F.col("side") * times).alias("reach"), (cut("x") + F.col("a")).alias("cx"), (cut("y") + F.col("b")).alias("cy"), (cut("z") + F.col("c")).alias("cz"))
+        grid = whole.df.select(*keys, F.col("idx").alias("nn"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), cut("x").alias("cx"), cut("y").alias("cy"), cut("z").alias("cz"))
+        d = gap("x", "px") * gap("x", "px") + gap("y", "py") * gap("y", "py") + gap("z", "pz") * gap("z", "pz")
+        near = asked.join(grid, [*keys, "cx", "cy", "cz"]).select(*keys, "idx", "want", "nn", "reach", d.alias("d")).where(F.col("d") <= F.col("reach") * F.col("reach"))
+        rank = F.row_number().over(Window.partitionBy(*keys, "idx").orderBy("d", "nn"))
+        best = space.write(near.withColumn("r", rank).where(F.col("r") <= k).select(*keys, "idx", "nn", "want"))
+        ready = space.write(best.df.groupBy(*keys, "idx", "want").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("want")).select(*keys, "idx"))
+        found = best.df.join(small(ready.df, ready.rows, BROADCAST_NAMES), [*keys, "idx"], "left_semi").select(*keys, "idx", "nn")
+        done = found if done is None else done.unionAll(found)
+        left = space.write(left.df.join(small(ready.df, ready.rows, BROADCAST_NAMES), [*keys, "idx"], "left_anti"))
+        times *= 2
+    return done if done is not None else left.df.select(*keys, "idx", F.col("idx").alias("nn"))
 
 
 def mutual(forward: DataFrame, backward: DataFrame, keys: list[str], radius: float | None = None) -> DataFrame:

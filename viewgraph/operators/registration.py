@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..scale import Workspace
-from .nearest import nearest
+from .nearest import nearest, nearest_k
 
 SIM3 = "s double, r array<double>, t array<double>"
 
@@ -97,32 +99,47 @@ def _by_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(f, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + schema)
 
 
-def normals(points: DataFrame, keys: list[str], k: int = 30, chunk: int = 1024) -> DataFrame:
-    """keys, idx, nx, ny, nz: the direction of least variance of the k nearest points, of any sign.
-    A group is one sequence's cloud; distances are made chunk by chunk."""
+def normals(points: DataFrame, keys: list[str], k: int = 30) -> DataFrame:
+    """keys, idx, nx, ny, nz: the direction of least variance of the k nearest points (the point among them; ties: the lesser
+    idx), of any sign. A group of fewer points takes all of them. Points without all coordinates have none.
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["x", "y", "z"]].to_numpy(float)
-        n = np.zeros_like(p)
-        for a in range(0, len(p), chunk):
-            d = ((p[a : a + chunk, None] - p[None]) ** 2).sum(-1)
-            near = np.argpartition(d, min(k, len(p)) - 1, axis=1)[:, :k]
-            q = p[near] - p[near].mean(1, keepdims=True)
-            n[a : a + chunk] = np.linalg.eigh(np.einsum("nki,nkj->nij", q, q))[1][:, :, 0]
-        return pdf[[*keys, "idx"]].assign(nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
+    Neighbours come from joins of grids of growing cells, as in nearest, so a cloud may have any size; what is made
+    of them is ten sums, and one 3x3 decomposition a point."""
+    near = nearest_k(points, keys, k)
+    at = points.select(*keys, F.col("idx").alias("nn"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    own = points.select(*keys, "idx", *[F.col(c) for c in "xyz"])
+    both = near.join(at, [*keys, "nn"]).join(own, [*keys, "idx"])
+    d = {c: F.col(f"n{c}") - F.col(c) for c in "xyz"}
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    sums = both.groupBy(*keys, "idx").agg(*[F.avg(d[c]).alias(f"m{c}") for c in "xyz"], *[F.avg(d[a] * d[b]).alias(f"s{a}{b}") for a, b in pairs])
+    types = dict(points.dtypes)
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            cov = np.empty((len(pdf), 3, 3))
+            for a, b in pairs:
+                i, j = "xyz".index(a), "xyz".index(b)
+                cov[:, i, j] = cov[:, j, i] = pdf[f"s{a}{b}"] - pdf[f"m{a}"] * pdf[f"m{b}"]
+            n = np.linalg.eigh(cov)[1][:, :, 0] if len(pdf) else np.zeros((0, 3))
+            yield pdf[[*keys, "idx"]].assign(nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
 
-    return _by_group(points, keys, each, f"idx {dict(points.dtypes)['idx']}, nx double, ny double, nz double")
+    return sums.mapInPandas(each, ", ".join(f"`{c}` {types[c]}" for c in [*keys, "idx"]) + ", nx double, ny double, nz double")
 
 
-def farthest_points(points: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """n points of each group, each the farthest from those before; the start depends on the seed and the group's size alone."""
+def farthest_points(points: DataFrame, keys: list[str], n: int, seed: int | None = None) -> DataFrame:
+    """n points of each group with their rank, each the farthest from those before; ties go to the lesser idx. The first is that of the
+    least idx, or with a seed one that depends on the seed and the group's size. A group is the cloud of one
+    sequence, held by one task; points without all coordinates are left out."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
+        pdf = pdf.dropna(subset=["x", "y", "z"]).sort_values("idx")
         p = pdf[["x", "y", "z"]].to_numpy(float)
-        at = int(np.random.default_rng([seed, len(p)]).integers(len(p)))
+        if not len(p):
+            return pdf.assign(rank=pd.Series(dtype="int32"))
+        at = int(np.random.default_rng([seed, len(p)]).integers(len(p))) if seed is not None else 0
         picked, d = [at], ((p - p[at]) ** 2).sum(1)
         while len(picked) < min(n, len(p)):
+            d[picked] = -1.0
             at = int(d.argmax())
             picked.append(at)
             d = np.minimum(d, ((p - p[at]) ** 2).sum(1))

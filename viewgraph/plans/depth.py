@@ -6,8 +6,6 @@ little for a prediction; trajectories are the events of a user.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +21,15 @@ from ..session import table
 KEYS = ["scene", "recon"]
 
 
+def _turn(axis: tuple[float, float, float], degrees: float) -> list[list[float]]:
+    x, y, z = np.array(axis) / np.linalg.norm(axis)
+    k, a = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]]), np.radians(degrees)
+    return (np.eye(3) + np.sin(a) * k + (1 - np.cos(a)) * k @ k).tolist()
+
+
+_TURN = _turn((1.0, 2.0, 3.0), 40.0)
+
+
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, v, u, z in units of a tenth."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("p", "e"))
@@ -38,9 +45,15 @@ def _classes(e: pd.Series) -> pd.Series:
     return e.map(lambda a: np.repeat([2, 2, 12, 12, 15, 15, 1, 1], 8).astype("<i4").tobytes())
 
 
-def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _raised(e: pd.Series) -> pd.Series:
+    """Depths from 10 on, a few of them missing: smooth enough for the whole chain to leave something."""
+    return e.map(lambda a: np.where(np.asarray(a, np.float64) > -0.25, 10 + 10 * np.abs(np.asarray(a, np.float64)), 0).astype("<f4").tobytes())
+
+
+def _rasters(spark: SparkSession, sf_dir: str, raised: bool = False) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
-    return rows.select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.pandas_udf(_positive, "binary")("embedding").alias("data"), F.pandas_udf(_classes, "binary")("embedding").alias("classes"))
+    values = F.pandas_udf(_raised if raised else _positive, "binary")("embedding")
+    return rows.select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), values.alias("data"), F.pandas_udf(_classes, "binary")("embedding").alias("classes"))
 
 
 def _stats(data: pd.Series) -> pd.DataFrame:
@@ -48,13 +61,13 @@ def _stats(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kept": [int((a > 0).sum()) for a in arrays], "total": [float(a.sum()) for a in arrays]})
 
 
-def _left_by(kernel, classes: bool = False):
+def _left_by(kernel, classes: bool = False, raised: bool = False):
     """A query: how many pixels a kernel leaves, and their sum."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         udf, stats = raster.raster_udf(kernel, classes), F.pandas_udf(_stats, "kept int, total double")
         out = udf("h", "w", "data", "classes") if classes else udf("h", "w", "data")
-        rows = _rasters(spark, sf_dir).select("vec_id", out.alias("data")).select("vec_id", stats("data").alias("s"))
+        rows = _rasters(spark, sf_dir, raised).select("vec_id", out.alias("data")).select("vec_id", stats("data").alias("s"))
         return rows.select("vec_id", "s.kept", F.round("s.total", 3).alias("total"))
 
     return query
@@ -85,7 +98,7 @@ gradient_cut = _left_by(lambda z: raster.cut_gradient(z.astype(float), 30.0))
 median_cut = _left_by(lambda z: raster.cut_unstable(z.astype(float), 5.0))
 sparse_object_cut = _left_by(raster.cut_sparse_objects, True)
 small_component_cut = _left_by(lambda z: raster.cut_small(z, 2))
-cleaned_depth = _left_by(lambda z, c: raster.clean(z.astype(float), c), True)
+cleaned_depth = _left_by(lambda z, c: raster.clean(z.astype(float), c, least_pixels=2), True, True)
 depth_edge_mask = _left_by(lambda z: np.where(raster.depth_edges(z.astype(float), rtol=0.5), z, 0))
 
 
@@ -150,66 +163,71 @@ def aligned_depth_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Clouds
 
 
-def _clouds(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The true cloud and one moved a little. The SQL of the queries below predicts points of even id alone; whole takes all."""
+def _clouds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The true cloud and a predicted one: every point, a little larger, shifted, and off by up to 0.05, as its id has it."""
     rows = table(spark, sf_dir, "point3d").select(*KEYS, F.col("point3d_id").alias("idx"), "xyz").distinct()
     x, y, z = (F.get("xyz", F.lit(i)) for i in range(3))
+    off = lambda n: ((F.col("idx") * n) % 101) / 1000 - 0.05
     gt = rows.select(*KEYS, "idx", x.alias("x"), y.alias("y"), z.alias("z"))
-    pred = (rows if whole else rows.where("idx % 2 = 0")).select(*KEYS, "idx", (x * 1.01 + 0.02).alias("x"), (y * 1.01 - 0.03).alias("y"), (z * 1.01).alias("z"))
+    pred = rows.select(*KEYS, "idx", (x * 1.01 + 0.02 + off(37)).alias("x"), (y * 1.01 - 0.03 + off(59)).alias("y"), (z * 1.01 + off(83)).alias("z"))
     return gt, pred
 
 
-def _neighbours(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    gt, pred = _clouds(spark, sf_dir, whole)
-    return nn.nearest(pred, gt, KEYS, 1.0), nn.nearest(gt, pred, KEYS, 1.0)
+def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    gt, pred = _clouds(spark, sf_dir)
+    return nn.nearest(pred, gt, KEYS), nn.nearest(gt, pred, KEYS)
 
 
-def nearest_points(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest true point to every predicted one."""
-    gt, pred = _clouds(spark, sf_dir, whole)
-    return nn.nearest(pred, gt, KEYS, 1.0).select(*KEYS, "idx", "nn", F.round("distance", 6).alias("distance"))
+    gt, pred = _clouds(spark, sf_dir)
+    return nn.nearest(pred, gt, KEYS).select(*KEYS, "idx", "nn", F.round("distance", 6).alias("distance"))
 
 
-def cloud_accuracy(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    out = mt.reconstruction_summary(*_neighbours(spark, sf_dir, whole), KEYS)
+def cloud_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mt.reconstruction_summary(*_neighbours(spark, sf_dir), KEYS)
     return out.select(*KEYS, *[F.round(c, 6).alias(c) for c in out.columns if c not in KEYS])
 
 
-def mutual_points(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return nn.mutual(*_neighbours(spark, sf_dir, whole), KEYS, 0.5).select(*KEYS, "a", "b", F.round("distance", 6).alias("distance"))
+def mutual_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn.mutual(*_neighbours(spark, sf_dir), KEYS, 0.5).select(*KEYS, "a", "b", F.round("distance", 6).alias("distance"))
 
 
-def voxel_iou(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    out = nn.voxel_iou(*_clouds(spark, sf_dir, whole), KEYS, 1.0)
+def voxel_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nn.voxel_iou(*_clouds(spark, sf_dir), KEYS, 1.0)
     return out.select(*KEYS, "n_common", "n_union", F.round("iou", 6).alias("iou"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    gt, pred = _clouds(spark, sf_dir, whole)
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, pred = _clouds(spark, sf_dir)
     return pred.join(gt.toDF(*KEYS, "idx", "u", "v", "w"), [*KEYS, "idx"])
 
 
-def similarity_moments(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    m = reg.moments(_pairs(spark, sf_dir, whole), KEYS)
-    return m.select(*KEYS, *[F.round(c, 9).alias(c) for c in m.columns if c not in KEYS])
+def similarity_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = reg.moments(_pairs(spark, sf_dir), KEYS)
+    return m.select(*KEYS, *[F.round(c, 6).alias(c) for c in m.columns if c not in KEYS])
 
 
-def similarity_fit(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The Sim(3) that takes a prediction back: a scale of 1 / 1.01, no turn, and the shift undone."""
-    fit = reg.similarity(_pairs(spark, sf_dir, whole), KEYS)
-    return fit.select(*KEYS, F.round("s", 5).alias("s"), *[F.round(F.get("r", F.lit(i)), 5).alias(f"r{i}") for i in (0, 4, 8)], *[F.round(F.get("t", F.lit(i)), 4).alias(f"t{i}") for i in range(3)])
+def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Sim(3) from a predicted cloud, with its errors, to the true one turned by 40 degrees about an oblique axis and moved."""
+    turned = [sum((F.col(c) * k for c, k in zip("uvw", row)), F.lit(0.0)) + t for row, t in zip(_TURN, (3.0, -1.0, 2.0))]
+    pairs = _pairs(spark, sf_dir).select(*KEYS, "idx", "x", "y", "z", *[c.alias(n) for n, c in zip("uvw", turned)])
+    enough = pairs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k")).where("k >= 10").drop("k")
+    fit = reg.similarity(pairs.join(enough, KEYS, "left_semi"), KEYS)
+    return fit.select(*KEYS, F.round("s", 4).alias("s"), *[F.round(F.get("r", F.lit(i)), 4).alias(f"r{i}") for i in range(9)])
 
 
 def icp_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean distance to the nearest true point of each reconstruction's predicted cloud after ICP with its defaults."""
-    gt, pred = _clouds(spark, sf_dir, True)
+    gt, pred = _clouds(spark, sf_dir)
     done = reg.icp(pred, gt, KEYS)
-    return nn.nearest(done, gt, KEYS, 1.0).groupBy(*KEYS).agg(F.round(F.avg("distance"), 6).alias("residual"))
+    return nn.nearest(done, gt, KEYS).groupBy(*KEYS).agg(F.round(F.avg("distance"), 6).alias("residual"))
 
 
 def point_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal of every true point, without its sign."""
     gt, _ = _clouds(spark, sf_dir)
-    return reg.normals(gt, KEYS, 10)
+    return reg.normals(gt, KEYS).select(*KEYS, "idx", *[F.round(F.abs(c), 3).alias(c) for c in ("nx", "ny", "nz")])
 
 
 def farthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,9 +312,7 @@ _FUNCTIONS = (
     depth_coverage, percentile_cut, prior_filter, depth_errors, depth_scales, depth_scale_irls, depth_scale_lad, confidence_weights, first_visible, lab_colors, aligned_depth_errors, nearest_points, cloud_accuracy, mutual_points, voxel_iou, similarity_moments, similarity_fit,
     icp_residual, point_normals, farthest_points, asof_events, lagged_motion, strided_events, last_event, macro_and_micro, whole_samples, sample_neighbours, listed_samples, track_lengths,
 )
-# Beside the queries whose SQL has half of the points: the same over whole clouds, without SQL.
-_CLOUD_FUNCTIONS = (nearest_points, cloud_accuracy, mutual_points, voxel_iou, similarity_moments, similarity_fit)
-QUERIES = {f.__name__: f for f in _FUNCTIONS} | {f"whole_{f.__name__}": partial(f, whole=True) for f in _CLOUD_FUNCTIONS} | {
+QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
     "gradient_cut": gradient_cut, "median_cut": median_cut, "sparse_object_cut": sparse_object_cut, "small_component_cut": small_component_cut, "cleaned_depth": cleaned_depth, "depth_edge_mask": depth_edge_mask,
 }
 
@@ -305,7 +321,7 @@ _DEPTHS = "d AS (SELECT l_returnflag AS seq, l_extendedprice / l_quantity AS pre
 _CLOUD = """
     pt AS (SELECT DISTINCT scene, recon, point3d_id AS idx, xyz FROM point3d),
     gt AS (SELECT scene, recon, idx, xyz[1] AS x, xyz[2] AS y, xyz[3] AS z FROM pt),
-    pr AS (SELECT scene, recon, idx, xyz[1]*1.01 + 0.02 AS x, xyz[2]*1.01 - 0.03 AS y, xyz[3]*1.01 AS z FROM pt WHERE idx % 2 = 0)"""
+    pr AS (SELECT scene, recon, idx, xyz[1]*1.01 + 0.02 + ((idx*37 % 101)/1000::DOUBLE - 0.05::DOUBLE) AS x, xyz[2]*1.01 - 0.03 + ((idx*59 % 101)/1000::DOUBLE - 0.05::DOUBLE) AS y, xyz[3]*1.01 + ((idx*83 % 101)/1000::DOUBLE - 0.05::DOUBLE) AS z FROM pt)"""
 
 
 def _nn_sql(name: str, a: str, b: str) -> str:
@@ -332,7 +348,64 @@ _F32 = "f AS (SELECT vec_id, v, u, (z::FLOAT)::DOUBLE AS z FROM px)"
 _KERNEL = "w AS (SELECT i - 2 AS o, " + " ".join(["CASE i", *[f"WHEN {i} THEN {s}" for i, s in enumerate(_SMOOTH)], "END AS s, CASE i", *[f"WHEN {i} THEN {s}" for i, s in enumerate(_SLOPE)], "END AS d FROM range(5) t(i))"])
 _KEPT = "SELECT vec_id, count_if(z > 0)::INT AS kept, round(sum((z::FLOAT)::DOUBLE), 3) AS total FROM out GROUP BY vec_id"
 
+# One component by flood fill: pixels of the core, then all that are reached from each over four neighbours.
+_FLOOD = """core AS (SELECT c.vec_id, c.v, c.u FROM src c JOIN src n ON n.vec_id = c.vec_id AND abs(n.v - c.v) <= 1 AND abs(n.u - c.u) <= 1 AND n.z > 0 GROUP BY ALL HAVING count(*) = 9),
+    reach AS (SELECT vec_id, v, u, v AS y, u AS x FROM core UNION
+              SELECT r.vec_id, r.v, r.u, c.v, c.u FROM reach r JOIN core c ON c.vec_id = r.vec_id AND abs(c.v - r.y) + abs(c.u - r.x) = 1),
+    big AS (SELECT vec_id, v, u FROM reach GROUP BY ALL HAVING count(*) >= 2)"""
+_CLASS = "CASE WHEN v < 2 THEN 2 WHEN v < 4 THEN 12 WHEN v < 6 THEN 15 ELSE 1 END"
+
+
+def _dense(source: str) -> str:
+    """Depths of a table, those of classes 12 and 15 gone where under half of the class is valid: each class is one component here."""
+    return f"""SELECT s.vec_id, s.v, s.u, CASE WHEN ({_CLASS}) IN (12, 15) AND k.share < 0.5 THEN 0 ELSE s.z END AS z FROM {source} s
+        JOIN (SELECT vec_id, {_CLASS} AS class, avg((z > 0)::INT) AS share FROM {source} GROUP BY ALL) k ON k.vec_id = s.vec_id AND k.class = {_CLASS.replace("v <", "s.v <")}"""
+
+
+def _kernel_sql(name: str, source: str, most: float) -> str:
+    return f"""{name} AS (SELECT vec_id, v, u, CASE WHEN sqrt(gx*gx + gy*gy) > {most} THEN 0 ELSE z END AS z FROM (
+        SELECT c.vec_id, c.v, c.u, c.z, sum(n.z * a.s * b.d) AS gx, sum(n.z * a.d * b.s) AS gy FROM {source} c, w a, w b, {source} n
+        WHERE n.vec_id = c.vec_id AND n.v = {_mirror('c.v + a.o')} AND n.u = {_mirror('c.u + b.o')} GROUP BY ALL))"""
+
+
+def _median_sql(name: str, source: str, most: float) -> str:
+    return f"""o7 AS (SELECT i - 3 AS o FROM range(7) t(i)), {name} AS (SELECT vec_id, v, u, CASE WHEN greatest(abs(z / (m + 1e-8)), abs(m / (z + 1e-8))) > {most} THEN 0 ELSE z END AS z FROM (
+        SELECT c.vec_id, c.v, c.u, c.z, median(n.z) AS m FROM {source} c, o7 a, o7 b, {source} n
+        WHERE n.vec_id = c.vec_id AND n.v = {_mirror_edge('c.v + a.o')} AND n.u = {_mirror_edge('c.u + b.o')} GROUP BY ALL))"""
+
+
 SQL = {
+    "sparse_object_cut": f"WITH {_PIX}, {_F32}, out AS ({_dense('f')}) {_KEPT}",
+    "small_component_cut": f"""
+        WITH RECURSIVE {_PIX}, {_F32}, src AS (SELECT * FROM f), {_FLOOD},
+        out AS (SELECT f.vec_id, CASE WHEN big.v IS NULL THEN 0 ELSE z END AS z FROM f LEFT JOIN big USING (vec_id, v, u)) {_KEPT}""",
+    "cleaned_depth": f"""
+        WITH RECURSIVE {_PIX.replace('greatest(embedding[i]::DOUBLE, 0) * 10', 'CASE WHEN embedding[i] > -0.25 THEN 10 + 10 * abs(embedding[i]::DOUBLE) ELSE 0 END')}, {_F32}, {_KERNEL},
+        {_kernel_sql('g1', 'f', 50)}, {_median_sql('g2', 'g1', 1.15)}, g3 AS ({_dense('g2')}),
+        src AS (SELECT vec_id, v, u, CASE WHEN v < 2 THEN 0 ELSE z END AS z FROM g3), {_FLOOD},
+        out AS (SELECT src.vec_id, CASE WHEN big.v IS NULL THEN 0 ELSE z END AS z FROM src LEFT JOIN big USING (vec_id, v, u)) {_KEPT}""",
+    # The eigenvector of least variance is that of greatest value of (trace I - C), here by squaring that matrix.
+    "point_normals": f"""
+        WITH RECURSIVE {_CLOUD},
+        k AS (SELECT a.scene, a.recon, a.idx, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z FROM gt a JOIN gt b USING (scene, recon)
+              QUALIFY row_number() OVER (PARTITION BY a.scene, a.recon, a.idx ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.idx) <= 30),
+        c AS (SELECT scene, recon, idx, {", ".join(f"avg({a}*{b}) - avg({a})*avg({b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM k GROUP BY ALL),
+        q AS (SELECT scene, recon, idx, 0 AS i, [[(yy+zz)/t, -xy/t, -xz/t], [-xy/t, (xx+zz)/t, -yz/t], [-xz/t, -yz/t, (xx+yy)/t]] AS a FROM (SELECT *, xx+yy+zz AS t FROM c WHERE xx+yy+zz > 0)
+              UNION ALL
+              SELECT scene, recon, idx, i + 1, list_transform(s, lambda r: list_transform(r, lambda v: v / (s[1][1] + s[2][2] + s[3][3]))) FROM (
+                  SELECT scene, recon, idx, i, list_transform(a, lambda r: list_transform(a, lambda t: list_inner_product(r, t))) AS s FROM q WHERE i < 30)),
+        v AS (SELECT scene, recon, idx, list_sort(list_transform(a, lambda r: [list_inner_product(r, r), r[1], r[2], r[3]]), 'DESC')[1] AS r FROM q WHERE i = 30)
+        SELECT scene, recon, idx, {", ".join(f"round(abs(r[{i}]) / sqrt(r[1]), 3) AS n{n}" for i, n in ((2, "x"), (3, "y"), (4, "z")))} FROM v""",
+    "farthest_points": f"""
+        WITH RECURSIVE {_CLOUD},
+        r AS (SELECT scene, recon, 0 AS rank, min(idx) AS idx, [min(idx)] AS picked FROM gt WHERE x + y + z IS NOT NULL GROUP BY ALL
+              UNION ALL
+              SELECT scene, recon, rank, idx, list_append(picked, idx) FROM (
+                  SELECT scene, recon, rank + 1 AS rank, picked, arg_max(idx, (d, -idx)) AS idx FROM (
+                      SELECT r.scene, r.recon, r.rank, r.picked, p.idx, min((p.x-g.x)*(p.x-g.x) + (p.y-g.y)*(p.y-g.y) + (p.z-g.z)*(p.z-g.z)) AS d
+                      FROM r JOIN gt p USING (scene, recon) JOIN gt g ON g.scene = r.scene AND g.recon = r.recon AND list_contains(r.picked, g.idx)
+                      WHERE r.rank < 15 AND NOT list_contains(r.picked, p.idx) GROUP BY ALL) GROUP BY ALL))
+        SELECT scene, recon, idx, rank::INT AS rank FROM r""",
     "depth_coverage": f"WITH {_PIX} SELECT vec_id, label FROM px GROUP BY ALL HAVING avg((z > 0)::INT) >= 0.5",
     "percentile_cut": f"""
         WITH {_PIX}, c AS (SELECT vec_id, quantile_cont(z, 0.98) AS cut FROM px GROUP BY ALL),
@@ -404,11 +477,26 @@ SQL = {
         SELECT scene, recon, count_if(s = 3)::BIGINT AS n_common, count(*) AS n_union, round(count_if(s = 3) / count(*), 6) AS iou FROM c GROUP BY ALL""",
     "similarity_moments": f"""
         WITH {_CLOUD}, p AS (SELECT pr.scene, pr.recon, pr.x, pr.y, pr.z, gt.x AS u, gt.y AS v, gt.z AS w FROM pr JOIN gt USING (scene, recon, idx))
-        SELECT scene, recon, count(*)::DOUBLE AS n, {', '.join(f'round(sum({c}), 9) AS s_{c}' for c in 'xyzuvw')},
-        {', '.join(f'round(sum({a}*{b}), 9) AS s_{a}{b}' for a in 'uvw' for b in 'xyz')}, round(sum(x*x + y*y + z*z), 9) AS s_xx FROM p GROUP BY ALL""",
+        SELECT scene, recon, count(*)::DOUBLE AS n, {', '.join(f'round(sum({c}), 6) AS s_{c}' for c in 'xyzuvw')},
+        {', '.join(f'round(sum({a}*{b}), 6) AS s_{a}{b}' for a in 'uvw' for b in 'xyz')}, round(sum(x*x + y*y + z*z), 6) AS s_xx FROM p GROUP BY ALL""",
+    # The rotation is the unit quaternion of the greatest eigenvalue of a symmetric 4x4 matrix of the moments, here by squaring the matrix.
     "similarity_fit": f"""
-        WITH {_CLOUD}, p AS (SELECT scene, recon, count(*) AS n FROM pr GROUP BY ALL HAVING count(*) > 3)
-        SELECT scene, recon, round(1/1.01::DOUBLE, 5) AS s, 1.0::DOUBLE AS r0, 1.0::DOUBLE AS r4, 1.0::DOUBLE AS r8, round(-0.02::DOUBLE/1.01, 4) AS t0, round(0.03::DOUBLE/1.01, 4) AS t1, 0.0::DOUBLE AS t2 FROM p""",
+        WITH RECURSIVE {_CLOUD},
+        p0 AS (SELECT pr.scene, pr.recon, pr.x, pr.y, pr.z, {", ".join(f"{r[0]!r}*gt.x + {r[1]!r}*gt.y + {r[2]!r}*gt.z AS {n}" for n, r in zip("uvw", _TURN))} FROM pr JOIN gt USING (scene, recon, idx)),
+        c AS (SELECT scene, recon, {", ".join(f"avg({a}) AS m{a}" for a in "xyzuvw")} FROM p0 GROUP BY ALL HAVING count(*) >= 10),
+        p AS (SELECT scene, recon, {", ".join(f"{a} - m{a} AS {a}" for a in "xyzuvw")} FROM p0 JOIN c USING (scene, recon)),
+        k AS (SELECT scene, recon, {", ".join(f"avg({a}*{b}) AS {a}{b}" for a in "xyz" for b in "uvw")}, avg(x*x + y*y + z*z) AS xx FROM p GROUP BY ALL),
+        n AS (SELECT scene, recon, [[xu+yv+zw, yw-zv, zu-xw, xv-yu], [yw-zv, xu-yv-zw, xv+yu, zu+xw], [zu-xw, xv+yu, -xu+yv-zw, yw+zv], [xv-yu, zu+xw, yw+zv, -xu-yv+zw]] AS a,
+              2 * (abs(xu)+abs(yv)+abs(zw)+abs(xv)+abs(xw)+abs(yu)+abs(yw)+abs(zu)+abs(zv)) AS b FROM k),
+        q AS (SELECT scene, recon, 0 AS i, list_transform(a, lambda r, i: list_transform(r, lambda v, j: (v + CASE WHEN i = j THEN b ELSE 0 END) / b)) AS a FROM n
+              UNION ALL
+              SELECT scene, recon, i + 1, list_transform(s, lambda r: list_transform(r, lambda v: v / (s[1][1] + s[2][2] + s[3][3] + s[4][4]))) FROM (
+                  SELECT scene, recon, i, list_transform(a, lambda r: list_transform(a, lambda t: list_inner_product(r, t))) AS s FROM q WHERE i < 40)),
+        v AS (SELECT scene, recon, list_sort(list_transform(a, lambda r: [list_inner_product(r, r), r[1], r[2], r[3], r[4]]), 'DESC')[1] AS r FROM q WHERE i = 40),
+        u AS (SELECT scene, recon, r[2]/sqrt(r[1]) AS w, r[3]/sqrt(r[1]) AS i, r[4]/sqrt(r[1]) AS j, r[5]/sqrt(r[1]) AS h FROM v),
+        m AS (SELECT scene, recon, [1-2*(j*j+h*h), 2*(i*j-w*h), 2*(i*h+w*j), 2*(i*j+w*h), 1-2*(i*i+h*h), 2*(j*h-w*i), 2*(i*h-w*j), 2*(j*h+w*i), 1-2*(i*i+j*j)] AS r FROM u)
+        SELECT scene, recon, round((r[1]*xu + r[2]*yu + r[3]*zu + r[4]*xv + r[5]*yv + r[6]*zv + r[7]*xw + r[8]*yw + r[9]*zw) / xx, 4) AS s, {", ".join(f"round(r[{i + 1}], 4) AS r{i}" for i in range(9))}
+        FROM m JOIN k USING (scene, recon)""",
     "asof_events": f"""
         WITH {_WALK}, k AS (SELECT list_sort(list(DISTINCT event_type)) AS k FROM e WHERE event_type IS NOT NULL),
         j AS (SELECT a.seq, a.event_id, min(abs(a.us - b.us)) AS gap FROM e a JOIN e b USING (seq), k WHERE a.event_type = k[1] AND b.event_type = k[2] GROUP BY ALL)

@@ -10,6 +10,7 @@ from ..operators import clusters as cl
 from ..operators import components as cc
 from ..operators import graph as gr
 from ..operators import samplers
+from ..scale import Workspace
 from ..session import table
 
 KEYS = ["scene", "recon"]
@@ -169,8 +170,43 @@ def scene_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samplers.scene_samples(match_graph(spark, sf_dir), KEYS, weight="weight")
 
 
+def scene_samples_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of scene_samples: reconstructions that have samples, samples of other than 24 images, repeated
+    images, images outside the graph, images linked to no other of their sample."""
+    edges = match_graph(spark, sf_dir)
+    rows = Workspace(spark, "hold").write(samplers.scene_samples(edges, KEYS, weight="weight")).df
+    both = edges.select(*KEYS, F.col("src").alias("id"), F.col("dst").alias("other")).unionAll(edges.select(*KEYS, "dst", "src"))
+    linked = rows.join(both, [*KEYS, "id"]).join(rows.select(*KEYS, "case", F.col("id").alias("other")), [*KEYS, "case", "other"], "left_semi")
+    sizes = rows.groupBy(*KEYS, "case").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("k"))
+    out = sizes.agg(F.countDistinct(*KEYS).alias("recons"), F.count_if(F.col("n") != 24).alias("wrong_size"), F.coalesce(F.sum(F.col("n") - F.col("k")), F.lit(0)).alias("repeated"))
+    outside = rows.join(both.select(*KEYS, "id").distinct(), [*KEYS, "id"], "left_anti").agg(F.count(F.lit(1)).alias("outside"))
+    apart = rows.join(linked.select(*KEYS, "case", "id").distinct(), [*KEYS, "case", "id"], "left_anti").agg(F.count(F.lit(1)).alias("apart"))
+    return out.crossJoin(outside).crossJoin(apart)  # one row each
+
+
 def dfs_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samplers.dfs_samples(match_graph(spark, sf_dir), KEYS, 8)
+    return samplers.dfs_samples(match_graph(spark, sf_dir), KEYS, 24)
+
+
+def dfs_samples_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of dfs_samples: each reconstruction whose components have enough images has 24 different ones of them."""
+    edges = match_graph(spark, sf_dir)
+    inside = dfs_samples(spark, sf_dir).join(gr.nodes_of(edges, KEYS), [*KEYS, "id"], "left_semi")
+    return inside.groupBy(*KEYS).agg(F.countDistinct("id").alias("images"), F.countDistinct("pos").alias("places"))
+
+
+def louvain_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of louvain: every image has one community, and modularity is not less than that of one community for all (0)."""
+    edges = Workspace(spark, "hold").write(match_graph(spark, sf_dir)).df
+    of = Workspace(spark, "hold").write(samplers.communities(edges, KEYS)).df
+    both = edges.select(*KEYS, "src", "dst", "weight").unionAll(edges.select(*KEYS, "dst", "src", "weight"))
+    ends = both.join(of.toDF(*KEYS, "src", "a"), [*KEYS, "src"]).join(of.toDF(*KEYS, "dst", "b"), [*KEYS, "dst"])
+    per = ends.groupBy(*KEYS, "a").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0)).alias("inside"), F.sum("weight").alias("degree"))
+    total = per.groupBy(*KEYS).agg(F.sum("degree").alias("total"))
+    share = F.col("degree") / F.col("total")
+    q = per.join(total, KEYS).groupBy(*KEYS).agg((F.sum(F.col("inside") / F.col("total") - share * share) > -1e-9).alias("fit"))
+    images = of.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("images"), F.countDistinct("id").alias("ids"))
+    return images.join(q, KEYS).select(*KEYS, "images", "ids", "fit")
 
 
 def skeletal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +216,7 @@ def skeletal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     co_observation_edges, co_observation_of_matches, match_graph, edge_degree, graph_size_gate, mean_scale, edge_distance, pair_id_roundtrip, existing_nodes, without_lost_cameras,
-    common_points_rule, similarity_knn, knn_all, knn_components, match_components, largest_components, spanning_forest, connected_knn, label_propagation, cluster_growth, louvain, scene_samples, dfs_samples, skeletal_clusters,
+    common_points_rule, similarity_knn, knn_all, knn_components, match_components, largest_components, spanning_forest, connected_knn, label_propagation, cluster_growth, louvain, louvain_holds, scene_samples, scene_samples_hold, dfs_samples, dfs_samples_hold, skeletal_clusters,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -219,8 +255,44 @@ _MCOMP = f"""
     l AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
     reach AS (SELECT a AS id, a AS seen FROM l UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.seen),
     comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"""
+_TREE = f"""
+    WITH RECURSIVE {_SIM},
+    prim AS (SELECT label, [min(vec_id)] AS seen, NULL::BIGINT AS src, NULL::BIGINT AS dst, NULL::DOUBLE AS weight FROM embeddings GROUP BY label
+             UNION ALL
+             SELECT label, list_append(seen, CASE WHEN list_contains(seen, e.src) THEN e.dst ELSE e.src END), e.src, e.dst, e.weight FROM (
+                 SELECT p.label, p.seen, arg_max({{'src': s.src, 'dst': s.dst, 'weight': s.weight}}, s.weight) AS e FROM prim p JOIN s USING (label)
+                 WHERE list_contains(p.seen, s.src) <> list_contains(p.seen, s.dst) GROUP BY p.label, p.seen)),
+    tree AS (SELECT label, src, dst, weight FROM prim WHERE src IS NOT NULL),
+    near AS (SELECT label, src, dst, weight FROM k1 UNION SELECT label, src, dst, weight FROM tree)"""
+
+
+def _votes(n: int) -> str:
+    return f"""v{n} AS (SELECT id, community, sum(w) AS w FROM (
+            SELECT b.src AS id, l.community, b.w FROM b JOIN l{n - 1} l ON l.id = b.dst UNION ALL SELECT l.id, l.community, own.w FROM l{n - 1} l JOIN own USING (id)) GROUP BY ALL),
+        l{n} AS (SELECT l.id, coalesce(x.community, l.id) AS community FROM l{n - 1} l LEFT JOIN (
+            SELECT id, arg_min(community, (-w, community)) AS community FROM v{n} GROUP BY id) x USING (id))"""
+
 
 SQL = {
+    "spanning_forest": _TREE + " SELECT src, dst, round(weight, 6) AS weight FROM tree",
+    "connected_knn": _TREE + " SELECT src, dst FROM near",
+    "skeletal_clusters": _TREE + """
+        , b AS (SELECT label, src, dst, weight FROM near UNION ALL SELECT label, dst, src, weight FROM near)
+        SELECT label, vec_id AS cluster, vec_id AS id FROM embeddings
+        UNION SELECT label, src, dst FROM b WHERE weight >= 0.4
+        UNION SELECT x.label, x.src, y.dst FROM b x JOIN b y ON y.label = x.label AND y.src = x.dst WHERE x.weight >= 0.4 AND x.weight * y.weight >= 0.4""",
+    "label_propagation": f"""
+        WITH {_SIM}, b AS (SELECT src, dst, weight AS w FROM k2 UNION ALL SELECT dst, src, weight FROM k2), own AS (SELECT src AS id, max(w) AS w FROM b GROUP BY src),
+        l0 AS (SELECT vec_id AS id, vec_id AS community FROM embeddings), {_votes(1)}, {_votes(2)}, {_votes(3)} SELECT id, community FROM l3""",
+    "scene_samples_hold": _MCOMP + """, sizes AS (SELECT component, count(*) AS k FROM comp GROUP BY component)
+        SELECT count(DISTINCT (split_part(id, '|', 1), split_part(id, '|', 2))) AS recons, 0::BIGINT AS wrong_size, 0::BIGINT AS repeated, 0::BIGINT AS outside, 0::BIGINT AS apart
+        FROM comp JOIN sizes USING (component) WHERE k >= 24""",
+    "dfs_samples_hold": _MCOMP + """, sizes AS (SELECT split_part(component, '|', 1) AS scene, split_part(component, '|', 2) AS recon, component, count(*) AS k FROM comp GROUP BY component),
+        first AS (SELECT scene, recon, k FROM sizes WHERE k >= 2 QUALIFY row_number() OVER (PARTITION BY scene, recon ORDER BY k DESC) <= 12)
+        SELECT scene, recon, 24::BIGINT AS images, 24::BIGINT AS places FROM first GROUP BY ALL HAVING sum(k) >= 24""",
+    "louvain_holds": f"""
+        WITH {_MATCH}, n AS (SELECT scene, recon, src AS id FROM m UNION SELECT scene, recon, dst FROM m)
+        SELECT scene, recon, count(*) AS images, count(DISTINCT id) AS ids, true AS fit FROM n GROUP BY ALL""",
     "co_observation_edges": f"WITH {_CO} SELECT * FROM e",
     "co_observation_of_matches": f"""
         WITH {_CO}, {_MATCH},
