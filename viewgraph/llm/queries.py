@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scale import Workspace, attach
 from ..session import table
 from .consolidate import consolidate
 from .cooccur import at_least_times_chance, cooccurrence
@@ -91,8 +92,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_recon_name, group_name of groups that the present lists put into several splits."""
     entries, groups = _entries(spark, sf_dir)
     listed = entries.where(F.col("split").isNotNull()).select(F.col("scene_recon_name").alias("name"), "split").distinct()
-    torn = groups.join(listed, "name").groupBy("group_name").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low < high")
-    return groups.join(torn, "group_name", "left_semi").select(F.col("name").alias("scene_recon_name"), "group_name")
+    space = Workspace(spark, "torn")
+    named = space.write(groups)
+    torn = space.write(named.df.join(listed, "name").groupBy("group_name").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low < high").select("group_name"))
+    # One group may hold most names; groups are as many as there are torn ones.
+    return attach(named.df, torn.df, "group_name", named.rows).select(F.col("name").alias("scene_recon_name"), "group_name")
 
 
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +108,20 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(groups, {r["split"]: r["proportion"] for r in rows}).withColumnRenamed("name", "scene_recon_name")
 
 
+def p4_splits_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p4_splits: names, groups, groups in several splits, names without a split, and whether every split is
+    off its target by no more than the largest group."""
+    rows = Workspace(spark, "hold").write(p4_splits(spark, sf_dir)).df
+    groups = rows.groupBy("group_name").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("split").alias("splits"))
+    per = groups.agg(F.sum("k").alias("names"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("splits") > 1).alias("torn"), F.max("k").alias("largest"))
+    without = rows.agg(F.count_if(F.col("split").isNull()).alias("unassigned"))
+    targets = table(spark, sf_dir, "split_target").where("split is not null and proportion > 0").distinct()
+    shares = targets.join(targets.agg(F.sum("proportion").alias("whole"))).select("split", (F.col("proportion") / F.col("whole")).alias("share"))
+    given = shares.join(rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")), "split", "left").join(per)
+    near = given.agg(F.bool_and(F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("names")) <= F.col("largest")).alias("near"))
+    return per.join(without).join(near).select("names", "groups", "torn", "unassigned", "near")  # one row each
+
+
 # 6: documents in containers
 
 
@@ -128,6 +146,18 @@ def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unused(_packed(spark, sf_dir), table(spark, sf_dir, "container_size"), "container_kind", "capacity_tokens").withColumnRenamed("kind", "container_kind")
 
 
+def p6_containers_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p6_containers, for each kind: documents, their tokens, all placed once and in order; containers over
+    their capacity, documents cut without need, and whether under 1 % of the room is unused."""
+    kinds = table(spark, sf_dir, "container_size").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    rows = Workspace(spark, "hold").write(p6_containers(spark, sf_dir)).df.join(F.broadcast(kinds.limit(1000)), "container_kind")
+    docs = rows.groupBy("container_kind", "doc_id", "capacity").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("k"), F.max("n_pieces").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("last"))
+    whole = (F.col("k") == F.col("n")) & (F.col("last") == F.col("tokens"))
+    per = docs.groupBy("container_kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.count_if(~whole).alias("broken"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("cut_without_need"))
+    boxes = rows.groupBy("container_kind", "container", "capacity").agg(F.sum("n_tokens").alias("t")).groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), (F.sum("t") >= 0.99 * F.sum(F.col("capacity") - F.lit(0)) - F.max("capacity")).alias("full"))
+    return per.join(boxes, "container_kind")
+
+
 # 7: evaluation items in documents
 
 
@@ -153,7 +183,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans(table(spark, sf_dir, "documents"), "doc_id", "text", "msg_start", "msg_end").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_pairs, p4_found, p4_splits, p6_found, p6_containers, p6_unused, p7_found, p7_near, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_pairs, p4_found, p4_splits, p4_splits_hold, p6_found, p6_containers, p6_containers_hold, p6_unused, p7_found, p7_near, p8_found)}
 
 _PHOTOS = """
     SELECT DISTINCT sample_uid, split, list_sort(list_distinct(list_transform(map_keys(imgs),
@@ -184,6 +214,17 @@ def _runs_sql(name: str, table: str, key: str, n: int = 13) -> str:
 
 
 _BYTES = "SELECT DISTINCT container_kind, doc_id FROM documents, container_size WHERE strlen(text) > capacity_tokens"
+_GROUPS = """
+        WITH RECURSIVE k AS (
+            SELECT DISTINCT scene_recon_name AS name, unnest([
+                'scene:' || nullif(replace(lower(split_part(scene_recon_name, '>', 1)), ' ', '_'), ''),
+                'place:' || nullif(upper(replace(replace(place_id, ' ', ''), '-', '')), ''),
+                'contributor:' || CASE WHEN lower(trim(contributor)) NOT IN ('', 'unknown', 'n/a') THEN lower(trim(contributor)) END]) AS key
+            FROM recon_split WHERE scene_recon_name IS NOT NULL),
+        e AS (SELECT DISTINCT x.name AS a, y.name AS b FROM k x JOIN k y USING (key)),
+        r AS (SELECT DISTINCT scene_recon_name AS name, scene_recon_name AS seen FROM recon_split WHERE scene_recon_name IS NOT NULL
+              UNION SELECT r.name, e.b FROM r JOIN e ON e.a = r.seen),
+        g AS (SELECT name, min(seen) AS group_name FROM r GROUP BY name)"""
 
 SQL = {
     "p1_found": """
@@ -203,19 +244,13 @@ SQL = {
     "p3_pairs": _TRACKS + """
         SELECT scene, recon, image_id_a, image_id_b, n_ab, round(n_ab * n / (n_a * n_b), 6) AS lift,
                CASE WHEN n_ab < n_a THEN round((1 - n_b / n) / (1 - n_ab / n_a), 6) END AS conviction FROM r""",
-    "p4_found": """
-        WITH RECURSIVE k AS (
-            SELECT DISTINCT scene_recon_name AS name, unnest([
-                'scene:' || nullif(replace(lower(split_part(scene_recon_name, '>', 1)), ' ', '_'), ''),
-                'place:' || nullif(upper(replace(replace(place_id, ' ', ''), '-', '')), ''),
-                'contributor:' || CASE WHEN lower(trim(contributor)) NOT IN ('', 'unknown', 'n/a') THEN lower(trim(contributor)) END]) AS key
-            FROM recon_split WHERE scene_recon_name IS NOT NULL),
-        e AS (SELECT DISTINCT x.name AS a, y.name AS b FROM k x JOIN k y USING (key)),
-        r AS (SELECT DISTINCT scene_recon_name AS name, scene_recon_name AS seen FROM recon_split WHERE scene_recon_name IS NOT NULL
-              UNION SELECT r.name, e.b FROM r JOIN e ON e.a = r.seen),
-        g AS (SELECT name, min(seen) AS group_name FROM r GROUP BY name),
+    "p4_found": _GROUPS + """,
         torn AS (SELECT group_name FROM g JOIN recon_split s ON s.scene_recon_name = g.name GROUP BY group_name HAVING count(DISTINCT split) > 1)
         SELECT name AS scene_recon_name, group_name FROM g WHERE group_name IN (SELECT group_name FROM torn)""",
+    "p4_splits_hold": _GROUPS + " SELECT count(*) AS names, count(DISTINCT group_name) AS groups, 0::BIGINT AS torn, 0::BIGINT AS unassigned, true AS near FROM g",
     "p6_found": _BYTES,
+    "p6_containers_hold": """
+        SELECT container_kind, count(*) AS docs, sum(coalesce(strlen(text), 0))::BIGINT AS tokens, 0::BIGINT AS broken, 0::BIGINT AS cut_without_need, 0::BIGINT AS overfull, true AS "full"
+        FROM documents, (SELECT DISTINCT container_kind FROM container_size) GROUP BY container_kind""",
     "p7_found": f"WITH {_runs_sql('a', 'eval_items', 'item_id')}, {_runs_sql('b', 'documents', 'doc_id')} SELECT DISTINCT item_id, doc_id FROM a JOIN b USING (run)",
 }
