@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cameras, depth, graphs, heavy_names, streams
+from . import cameras, depth, graphs, heavy_names, loader, streams
 
-_MODULES = [graphs, cameras, depth, heavy_names, streams]
+_MODULES = [graphs, cameras, depth, loader, heavy_names, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
