@@ -101,3 +101,68 @@ def test_lists_metrics_and_trajectories(spark, tmp_path):
     points = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double")
     assert files.ply_lines(points).first().value == "1.0 2.0 3.0" and "element vertex 1" in files.ply_header(1, False)
     assert files.grid_shape(7) == (2, 4)
+
+
+def test_png_of_all_kinds_and_filters():
+    import zlib
+
+    from viewgraph.sources import images
+
+    rng = np.random.default_rng(1)
+    for shape, dtype in (((3, 5), np.uint8), ((4, 6), np.uint16), ((2, 7, 3), np.uint8), ((5, 2, 4), np.uint16), ((1, 1, 2), np.uint8)):
+        z = rng.integers(0, np.iinfo(dtype).max + 1, shape).astype(dtype)
+        assert (images.read_png(images.png_bytes(z)) == z).all()
+    z = rng.integers(0, 256, (5, 6, 3)).astype(np.uint8)
+    lines = []
+    for i in range(5):  # one line of each filter, by its definition
+        row, above = z[i].ravel().astype(int), (z[i - 1].ravel().astype(int) if i else np.zeros(18, int))
+        left, corner = np.r_[[0] * 3, row[:-3]], np.r_[[0] * 3, above[:-3]]
+        near = np.select([(abs(above - corner) <= abs(left - corner)) & (abs(above - corner) <= abs(left + above - 2 * corner)), abs(left - corner) <= abs(left + above - 2 * corner)], [left, above], corner)
+        lines.append(bytes([i]) + ((row - [0 * row, left, above, (left + above) // 2, near][i]) % 256).astype(np.uint8).tobytes())
+    data = images.png_bytes(z)
+    head = data[: data.index(b"IDAT") - 4]
+    body = zlib.compress(b"".join(lines))
+    assert (images.read_png(head + struct.pack(">I", len(body)) + b"IDAT" + body + b"\0" * 4) == z).all()
+    with pytest.raises(ValueError):
+        images.read_png(b"GIF89a")
+
+
+def test_metadata_of_images(spark, tmp_path):
+    from viewgraph.sources import images
+
+    meta = {"make": "ACME", "model": "X", "orientation": 6, "lens": "A long Fisheye lens", "focal": 2, "focal35": 9}
+    (tmp_path / "a.jpg").write_bytes(images.jpeg_head(640, 480, meta))
+    (tmp_path / "b.jpg").write_bytes(images.jpeg_head(9000, 10, None))
+    (tmp_path / "c.png").write_bytes(images.png_bytes(np.zeros((3, 4), np.uint8)))
+    (tmp_path / "d.jpg").write_bytes(b"no image")
+    (tmp_path / "e.jpg").write_bytes(b"")
+    (tmp_path / "f.jpg").write_bytes(images.jpeg_head(640, 480, {"orientation": 1}))
+    (tmp_path / "g pano.jpg").write_bytes(images.jpeg_head(640, 480, {"orientation": 1}))
+    rows = {r.path.rpartition("/")[2].replace("%20", " "): r for r in images.read_metadata(spark, str(tmp_path)).collect()}
+    a = rows["a.jpg"]
+    assert (a.width, a.height, a.has_exif, a.orientation, a.make, a.model, a.lens, a.focal, a.focal35) == (640, 480, True, 6, "acme", "x", "a long fisheye lens", 2, 9)
+    assert (rows["c.png"].width, rows["c.png"].height, rows["c.png"].has_exif) == (4, 3, False)
+    assert not rows["d.jpg"].readable and rows["d.jpg"].error and "e.jpg" not in rows
+    kept = {r.path.rpartition("/")[2].replace("%20", " ") for r in images.kept_images(images.read_metadata(spark, str(tmp_path))).collect()}
+    assert kept == {"b.jpg", "c.png", "f.jpg"}  # without EXIF an image stays whatever its shape
+
+
+def test_files_are_written_whole_and_errors_are_rows(spark, tmp_path):
+    from viewgraph.sources import storage
+
+    (tmp_path / "file").write_text("x")
+    df = spark.createDataFrame([(str(tmp_path / "a" / "b.txt"), "ü"), (f"file://{tmp_path}/c.txt", ""), (str(tmp_path / "file" / "d"), "x"), (None, "x"), (str(tmp_path / "e"), None)], "p string, c string")
+    got = {r.path: (r.bytes, bool(r.error)) for r in storage.write_files(df, "p", "c").collect()}
+    assert got[str(tmp_path / "a" / "b.txt")] == (2, False) and (tmp_path / "a" / "b.txt").read_text() == "ü"
+    assert got[f"file://{tmp_path}/c.txt"] == (0, False) and sum(bad for _, bad in got.values()) == 3
+    assert storage.exists(f"file://{tmp_path}/c.txt") and not storage.exists(str(tmp_path / "none"))
+
+
+def test_many_databases(spark, tmp_path):
+    rows = spark.createDataFrame([(str(tmp_path / f"{k} x.db"), i, f"n {i}", 1) for k in "ab" for i in (1, 2)], "path string, image_id long, name string, camera_id long")
+    assert all(r.error is None and r.rows == 2 for r in db.write_databases(rows, "path", "images").collect())
+    db.write_databases(rows, "path", "images").collect()  # as a task that runs twice
+    back = db.read(spark, str(tmp_path / "*.db"), "images", parts=2)
+    assert back.count() == 4 and back.select("path").distinct().count() == 2
+    assert back.where("image_id > 1 and path is not null").count() == 2
+    assert db.read(spark, str(tmp_path / "*.none"), "images").collect() == []

@@ -173,7 +173,7 @@ def trajectory_errors(poses: DataFrame, keys: list[str], ts: str, gt: str = "gt"
     off = g.compose(g.rigid_inverse(F.col("__g")), F.col("__p"))
     d = g.center_distance(g.translation_of(F.col(gt)), g.translation_of(F.col(pred)))
     trace = g.at(off, 0) + g.at(off, 5) + g.at(off, 10)
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))
+    angle = F.when(trace.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2)))))  # the first frame has no motion
     shift = g.norm(g.vector(g.translation_of(off), 3))
     rows = moved.select(*keys, d.alias("d"), shift.alias("s"), angle.alias("a"))
     rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
 from collections.abc import Iterable, Iterator
+from glob import glob
+from itertools import islice
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -18,9 +22,9 @@ from ..schema import PAIR_BASE
 DDL = {
     "cameras": "camera_id INTEGER PRIMARY KEY AUTOINCREMENT NOT NULL, model INTEGER NOT NULL, width INTEGER NOT NULL, height INTEGER NOT NULL, params BLOB, prior_focal_length INTEGER NOT NULL",
     "images": "image_id INTEGER PRIMARY KEY AUTOINCREMENT NOT NULL, name TEXT NOT NULL UNIQUE, camera_id INTEGER NOT NULL, prior_qw REAL, prior_qx REAL, prior_qy REAL, prior_qz REAL, prior_tx REAL, prior_ty REAL, prior_tz REAL, "
-    f"CHECK(image_id >= 0 and image_id < {PAIR_BASE}), FOREIGN KEY(camera_id) REFERENCES cameras(camera_id)",
-    "keypoints": "image_id INTEGER PRIMARY KEY NOT NULL, rows INTEGER NOT NULL, cols INTEGER NOT NULL, data BLOB",
-    "descriptors": "image_id INTEGER PRIMARY KEY NOT NULL, rows INTEGER NOT NULL, cols INTEGER NOT NULL, data BLOB",
+    f"CONSTRAINT image_id_check CHECK(image_id >= 0 and image_id < {PAIR_BASE}), FOREIGN KEY(camera_id) REFERENCES cameras(camera_id)",
+    "keypoints": "image_id INTEGER PRIMARY KEY NOT NULL, rows INTEGER NOT NULL, cols INTEGER NOT NULL, data BLOB, FOREIGN KEY(image_id) REFERENCES images(image_id) ON DELETE CASCADE",
+    "descriptors": "image_id INTEGER PRIMARY KEY NOT NULL, rows INTEGER NOT NULL, cols INTEGER NOT NULL, data BLOB, FOREIGN KEY(image_id) REFERENCES images(image_id) ON DELETE CASCADE",
     "matches": "pair_id INTEGER PRIMARY KEY NOT NULL, rows INTEGER NOT NULL, cols INTEGER NOT NULL, data BLOB",
     "two_view_geometries": "pair_id INTEGER PRIMARY KEY NOT NULL, rows INTEGER NOT NULL, cols INTEGER NOT NULL, data BLOB, config INTEGER NOT NULL, F BLOB, E BLOB, H BLOB",
 }
@@ -35,7 +39,8 @@ SCHEMAS = {
 
 
 class Source(DataSource):
-    """Options: path, table, columns (names with commas; default all), parts (ranges of rowid read in parallel)."""
+    """Options: path (a file, or a pattern of files that executors reach by it), table, columns (names with commas; default all), parts
+    (ranges of rowid of a file, read in parallel). Rows of a pattern have their file's path as one more column."""
 
     @classmethod
     def name(cls) -> str:
@@ -43,7 +48,7 @@ class Source(DataSource):
 
     def schema(self) -> str:
         wanted = self._columns()
-        return ", ".join(x for x in SCHEMAS[self.options["table"]].split(", ") if x.split()[0] in wanted)
+        return ", ".join([x for x in SCHEMAS[self.options["table"]].split(", ") if x.split()[0] in wanted] + ["path string"] * ("*" in self.options["path"]))
 
     def _columns(self) -> list[str]:
         every = [x.split()[0] for x in SCHEMAS[self.options["table"]].split(", ")]
@@ -55,8 +60,8 @@ class Source(DataSource):
 
 
 class Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, path: str, low: int, high: int):
+        self.path, self.low, self.high = path, low, high
 
 
 class Reader(DataSourceReader):
@@ -68,7 +73,9 @@ class Reader(DataSourceReader):
     def pushFilters(self, filters: list) -> Iterable:
         """NOT NULL and > run inside the database, so no blob of a dropped row is read."""
         for f in filters:
-            if isinstance(f, IsNotNull) and len(f.attribute) == 1:
+            if isinstance(f, (IsNotNull, GreaterThan)) and f.attribute == ("path",):
+                yield f
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1:
                 self.where.append(f'"{f.attribute[0]}" IS NOT NULL')
             elif isinstance(f, GreaterThan) and len(f.attribute) == 1 and isinstance(f.value, (int, float)):
                 self.where.append(f'"{f.attribute[0]}" > ?')
@@ -76,23 +83,29 @@ class Reader(DataSourceReader):
             else:
                 yield f
 
-    def _open(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+    def _open(self, path: str) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
 
     def partitions(self) -> list[Range]:
-        con = self._open()
-        low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        con.close()
-        if low is None:
-            return [Range(0, -1)]
-        step = max(1, -(-(high - low + 1) // self.parts))
-        return [Range(a, min(high, a + step - 1)) for a in range(low, high + 1, step)]
+        out = []
+        for path in sorted(glob(self.path)) if "*" in self.path else [self.path]:
+            con = self._open(path)
+            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            con.close()
+            if low is not None:
+                step = max(1, -(-(high - low + 1) // self.parts))
+                out += [Range(path, a, min(high, a + step - 1)) for a in range(low, high + 1, step)]
+        return out or [Range("", 0, -1)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        con = self._open()
+        if not partition.path:
+            return
+        con = self._open(partition.path)
         names = ", ".join(f'"{c}"' for c in self.columns)
         where = " AND ".join(["rowid BETWEEN ? AND ?", *self.where])
-        yield from con.execute(f'SELECT {names} FROM "{self.table}" WHERE {where}', [partition.low, partition.high, *self.values])
+        more = (partition.path,) if "*" in self.path else ()
+        for row in con.execute(f'SELECT {names} FROM "{self.table}" WHERE {where}', [partition.low, partition.high, *self.values]):
+            yield (*row, *more)
         con.close()
 
 
@@ -105,12 +118,13 @@ def read(spark: SparkSession, path: str, table: str, columns: list[str] | None =
 
 def read_pairs(spark: SparkSession, path: str, table: str = "two_view_geometries", least: int = 16, parts: int = 1) -> DataFrame:
     """src, dst (names with blanks as underscores), matches_num of verified pairs with more than `least` matches.
-    The count is stored, so no list of matches is decoded."""
+    The count is stored, so no list of matches is decoded. path may be a pattern of databases; rows then have their path."""
+    keys = ["path"] if "*" in path else []
     pairs = read(spark, path, table, ["pair_id", "rows", "data"], parts).where(F.col("data").isNotNull() & (F.col("rows") > least))
     a, b = pair_images(F.col("pair_id"))
-    names = read(spark, path, "images", ["image_id", "name"]).select("image_id", flat_name(F.col("name")).alias("name"))
-    out = pairs.select(a.alias("a"), b.alias("b"), F.col("rows").alias("matches_num"))
-    return out.join(names.toDF("a", "src"), "a").join(names.toDF("b", "dst"), "b").select("src", "dst", "matches_num")
+    names = read(spark, path, "images", ["image_id", "name"]).select(*keys, "image_id", flat_name(F.col("name")).alias("name"))
+    out = pairs.select(*keys, a.alias("a"), b.alias("b"), F.col("rows").alias("matches_num"))
+    return out.join(names.toDF(*keys, "a", "src"), [*keys, "a"]).join(names.toDF(*keys, "b", "dst"), [*keys, "b"]).select(*keys, "src", "dst", "matches_num")
 
 
 def blob_array(dtype: str, element: str):
@@ -149,16 +163,37 @@ def create(path: str) -> sqlite3.Connection:
     return con
 
 
+def write_databases(df: DataFrame, path: str, table: str) -> DataFrame:
+    """Appends rows to a table of the database that each row names by its path, one task for each database, lazily: path, rows,
+    error. A task that runs twice writes once: rows with a key that is there are passed over."""
+    names = [x.split()[0] for x in SCHEMAS[table].split(", ") if x.split()[0] in df.columns]
+    sql = f"INSERT OR IGNORE INTO {table} ({', '.join(names)}) VALUES ({', '.join('?' * len(names))})"
+
+    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            os.makedirs(os.path.dirname(key[0]), exist_ok=True)
+            con = create(key[0])
+            with con:
+                con.executemany(sql, pdf[names].astype(object).where(pdf[names].notna(), None).itertuples(index=False, name=None))
+            con.close()
+            return pd.DataFrame({"path": [key[0]], "rows": [len(pdf)], "error": [None]})
+        except (OSError, sqlite3.Error) as e:
+            return pd.DataFrame({"path": [key[0]], "rows": [0], "error": [f"{type(e).__name__}: {e}"[:200]]})
+
+    return df.select(F.col(path).alias("path"), *names).groupBy("path").applyInPandas(each, "path string, rows long, error string")
+
+
 def write(df: DataFrame, path: str, table: str) -> int:
-    """Appends rows to a table of a database. A database is one file of one scene, so it is written by the driver, row by row."""
+    """Appends rows to a table of one database on the driver. For many databases see write_databases."""
     names = [x.split()[0] for x in SCHEMAS[table].split(", ") if x.split()[0] in df.columns]
     con = create(path)
     sql = f"INSERT INTO {table} ({', '.join(names)}) VALUES ({', '.join('?' * len(names))})"
     n = 0
     with con:
-        for row in df.select(*names).toLocalIterator():
-            con.execute(sql, [bytes(v) if isinstance(v, bytearray) else v for v in row])
-            n += 1
+        rows = ([bytes(v) if isinstance(v, bytearray) else v for v in row] for row in df.select(*names).toLocalIterator())
+        while batch := list(islice(rows, 10_000)):
+            con.executemany(sql, batch)
+            n += len(batch)
     con.close()
     return n
 

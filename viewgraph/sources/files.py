@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import last_rows
 from ..schema import RASTER
+from .images import png_bytes, read_png
+from .storage import write_files
 
 SINTEL_TAG = 202021.25
 
@@ -45,6 +47,28 @@ def sintel_camera(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<f8", 9, 4).reshape(3, 3), np.frombuffer(data, "<f8", 12, 76).reshape(3, 4)
 
 
+def sintel_bytes(z: np.ndarray) -> bytes:
+    return struct.pack("<fii", SINTEL_TAG, z.shape[1], z.shape[0]) + z.astype("<f4").tobytes()
+
+
+def npy_bytes(z: np.ndarray) -> bytes:
+    import io
+
+    out = io.BytesIO()
+    np.save(out, z)
+    return out.getvalue()
+
+
+def png_depth(scale: float) -> Callable[[bytes], np.ndarray]:
+    """A reader of 16-bit PNG depths in parts of a unit; -1 where there is none."""
+
+    def read(data: bytes) -> np.ndarray:
+        z = read_png(data)
+        return np.where(z == 0, -1, z / scale)
+
+    return read
+
+
 def npy_depth(data: bytes) -> np.ndarray:
     import io
 
@@ -69,9 +93,17 @@ def scaled_depth(value: Column, scale: float) -> Column:
 
 
 #: Readers by kind; what a data set adds to them is its scale and greatest depth.
-READERS: dict[str, Callable[[bytes], np.ndarray]] = {"mvs": mvs_depth, "sintel": sintel_depth, "npy": npy_depth}
+READERS: dict[str, Callable[[bytes], np.ndarray]] = {
+    "mvs": mvs_depth, "sintel": sintel_depth, "npy": npy_depth, "half_png": lambda data: half_float(read_png(data)),
+    "png_1000": png_depth(1000.0), "bonn": png_depth(5000.0), "kitti": png_depth(256.0),
+}
+#: Writers by kind, of depths of 0 and above.
+DEPTH_WRITERS: dict[str, Callable[[np.ndarray], bytes]] = {
+    "mvs": mvs_bytes, "sintel": sintel_bytes, "npy": npy_bytes, "half_png": lambda z: png_bytes(z.astype(np.float16).view(np.uint16)),
+    "png_1000": lambda z: png_bytes(np.clip(np.rint(z * 1000), 0, 65535).astype(np.uint16)),
+}
 # Kind of reader or scale, and greatest depth, by data set.
-DEPTH_SETS = {"sintel": ("sintel", 70.0), "bonn": (5000.0, 70.0), "kitti": (256.0, None), "nyu": ("npy", None)}
+DEPTH_SETS = {"sintel": ("sintel", 70.0), "bonn": ("bonn", 70.0), "kitti": ("kitti", None), "nyu": ("npy", None)}
 
 
 def read_depths(spark: SparkSession, path: str, kind: str, glob: str | None = None) -> DataFrame:
@@ -95,6 +127,16 @@ def read_depths(spark: SparkSession, path: str, kind: str, glob: str | None = No
     return reader.load(path).select("path", "content").mapInPandas(rows, RASTER + ", error string")
 
 
+def write_depths(rasters: DataFrame, kind: str) -> DataFrame:
+    """Writes rasters (path, h, w, data) as one file each, lazily: path, bytes, error."""
+    encode = DEPTH_WRITERS[kind]
+
+    def content(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else encode(np.frombuffer(d, "<f4").reshape(int(a), int(b))) for a, b, d in zip(h, w, data)], dtype=object)
+
+    return write_files(rasters.select("path", F.pandas_udf(content, "binary")("h", "w", "data").alias("content")), "path", "content")
+
+
 def with_depth(images: DataFrame, depths: DataFrame, on: str) -> DataFrame:
     """Images with their raster; a zero raster of the image's size (h, w) where there is none."""
     zero = F.when(F.col("data").isNull(), F.unhex(F.repeat(F.lit("00000000"), F.col("h") * F.col("w")))).otherwise(F.col("data"))
@@ -188,10 +230,20 @@ def read_matrix_poses(spark: SparkSession, path: str) -> DataFrame:
 # Point clouds
 
 
+def ply_line(points: DataFrame) -> Column:
+    """A data line of a text cloud: x y z, and r g b if there."""
+    return F.concat_ws(" ", *[F.col(c).cast("string") for c in ["x", "y", "z"] + [c for c in ("r", "g", "b") if c in points.columns]])
+
+
 def ply_lines(points: DataFrame) -> DataFrame:
-    """value: the data lines of a text cloud (x y z, and r g b if there), for df.write.text; ply_header goes before."""
-    columns = ["x", "y", "z"] + [c for c in ("r", "g", "b") if c in points.columns]
-    return points.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("value"))
+    """value: the data lines of a text cloud, for df.write.text; ply_header goes before."""
+    return points.select(ply_line(points).alias("value"))
+
+
+def ply_head(n: Column, colored: bool) -> Column:
+    """The header of a text cloud of so many points."""
+    lines = [f"property float {c}" for c in "xyz"] + ([f"property uchar {c}" for c in ("red", "green", "blue")] if colored else [])
+    return F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), n.cast("string"), F.lit("\n" + "\n".join([*lines, "end_header"])))
 
 
 def ply_header(n: int, colored: bool) -> str:
@@ -200,6 +252,14 @@ def ply_header(n: int, colored: bool) -> str:
     return "\n".join([*lines, "end_header"])
 
 
+def read_ply(spark: SparkSession, path: str) -> DataFrame:
+    """file, x, y, z, r, g, b of text clouds as ply_head and ply_line write them; colours are null where there are none. Lines are read apart."""
+    v = F.split("value", " ")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^[-+0-9]") & (F.size(v) >= 3))
+    number = lambda i, t: F.get(v, F.lit(i)).cast(t)
+    return lines.select(F.input_file_name().alias("file"), *[number(i, "double").alias(c) for i, c in enumerate("xyz")], *[number(i, "int").alias(c) for i, c in enumerate("rgb", 3)])
+
+
 def confident(conf: Column, least: float = 0.2) -> Column:
     """Whether the sigmoid of a confidence is over the least one."""
     return 1 / (1 + F.exp(-conf)) > least

@@ -191,7 +191,7 @@ def jpeg_head(width: int, height: int, meta: dict | None) -> bytes:
 
 
 def read_metadata(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, readable, the columns of META, error: all image files below a folder. Only what can be read of a file's head is looked at."""
+    """path, readable, the columns of META, error: all image files below a folder. Only a file's head is looked at; an empty file has no row."""
     names = [x.split()[0] for x in META.split(", ")]
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CAMERA, CAMERA_IDS, CAMERA_MODELS, IMAGE, POINT3D
+from .storage import exists, put
 
 TABLES = {"cameras": CAMERA, "images": IMAGE, "points3D": POINT3D}
 
@@ -118,11 +118,19 @@ def read_table(spark: SparkSession, pattern: str, table: str, ext: str) -> DataF
 def detect_format(folder: str, ext: str = "") -> str | None:
     """The form in which a folder holds all three tables: the given one, else binary, else text."""
     for e in [ext] if ext else [".bin", ".txt"]:
-        if all(os.path.isfile(os.path.join(folder, t + e)) for t in TABLES):
+        if all(exists(f"{folder.rstrip('/')}/{t}{e}") for t in TABLES):
             return e
     return None
 
 
+def list_formats(spark: SparkSession, root: str) -> DataFrame:
+    """folder, ext: the folders below a root that hold all three tables in one form; binary goes before text. Only names are read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load(root).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)(\.\w+)$", 1).alias("t"), F.regexp_extract("path", r"([^/]*)(\.\w+)$", 2).alias("ext"))
+    whole = files.where(F.col("t").isin(*TABLES) & F.col("ext").isin(".bin", ".txt")).groupBy("folder", "ext").agg(F.countDistinct("t").alias("n")).where(F.col("n") == len(TABLES))
+    return whole.groupBy("folder").agg(F.min("ext").alias("ext"))
+
+
 def read_model(spark: SparkSession, folder: str, ext: str = "") -> dict[str, DataFrame] | None:
     """cameras, images and points3D of a folder, or None if it holds no model."""
     found = detect_format(folder, ext)
@@ -196,20 +204,16 @@ def write_models(df: DataFrame, table: str, folder_col: str, order: str, ext: st
     write = WRITERS[table, ext]
 
     def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(key[0], exist_ok=True)
-        path = os.path.join(key[0], table + ext)
+        path = f"{key[0].rstrip('/')}/{table}{ext}"
         rows = list(pdf.sort_values(order).itertuples(index=False))
-        part = f"{path}.{os.getpid()}.part"
-        with open(part, "wb") as f:
-            f.write(write(rows))
-        os.replace(part, path)  # a task that runs twice leaves one whole file
+        put(path, write(rows))
         return pd.DataFrame({"folder": [key[0]], "path": [path], "rows": [len(rows)]})
 
     return df.groupBy(folder_col).applyInPandas(each, "folder string, path string, rows long")
 
 
-def normalised(images: DataFrame) -> DataFrame:
-    """image_id, name, idx, x, y, point3d_id: one row per keypoint of the images' arrays."""
+def normalised(images: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """keys, image_id, name, idx, x, y, point3d_id: one row per keypoint of the images' arrays."""
     zipped = F.arrays_zip("xys", "point3d_ids")
-    rows = images.select("image_id", "name", F.posexplode(zipped).alias("idx", "o"))
-    return rows.select("image_id", "name", "idx", F.get("o.xys", F.lit(0)).alias("x"), F.get("o.xys", F.lit(1)).alias("y"), F.col("o.point3d_ids").alias("point3d_id"))
+    rows = images.select(*keys, "image_id", "name", F.posexplode(zipped).alias("idx", "o"))
+    return rows.select(*keys, "image_id", "name", "idx", F.get("o.xys", F.lit(0)).alias("x"), F.get("o.xys", F.lit(1)).alias("y"), F.col("o.point3d_ids").alias("point3d_id"))
