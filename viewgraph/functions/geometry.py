@@ -339,15 +339,16 @@ def valid_depth(z: Column, eps: float = 1e-8) -> Column:
 
 
 def project(k: Column, w2c: Column, p: Column) -> list[Column]:
-    """u, v and depth of a world point."""
+    """u, v and depth of a world point; at a depth of 0 it has no place."""
     c = vector(transform_point(w2c, p), 3)
-    return [at(k, 0) * c[0] / c[2] + at(k, 2), at(k, 4) * c[1] / c[2] + at(k, 5), c[2]]
+    z = F.nullif(c[2], F.lit(0.0))
+    return [at(k, 0) * c[0] / z + at(k, 2), at(k, 4) * c[1] / z + at(k, 5), c[2]]
 
 
 def covisible(u: Column, v: Column, z: Column, width: Column, height: Column, seen: Column, tolerance: float = 0.05) -> Column:
     """Whether a projected point lies in an image whose depth there agrees with it."""
     inside = (z > 0) & (u >= 0) & (u <= width - 1) & (v >= 0) & (v <= height - 1)
-    return F.coalesce(inside & (seen > 0) & (F.abs(z - seen) / seen < tolerance), F.lit(False))
+    return F.coalesce(inside & (seen > 0) & (F.abs(z - seen) < seen * tolerance), F.lit(False))
 
 
 def plucker(origin: list[Column], direction: list[Column]) -> list[Column]:

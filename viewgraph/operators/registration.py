@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..scale import Workspace
@@ -196,10 +197,12 @@ def refine_similarity(x: np.ndarray, y: np.ndarray, fit: tuple[float, np.ndarray
     return s, r, t
 
 
-def robust_alignment(source: DataFrame, target: DataFrame, keys: list[str], most: int = 10_000, radius: float | None = None) -> DataFrame:
-    """keys, s, r, t: robust Sim(3) of two clouds per group, from farthest points where a cloud has over `most`."""
-    a = farthest_points(source.select(*keys, "idx", "x", "y", "z"), keys, most).withColumn("side", F.lit(0))
-    b = farthest_points(target.select(*keys, "idx", "x", "y", "z"), keys, most).withColumn("side", F.lit(1))
+def robust_alignment(source: DataFrame, target: DataFrame, keys: list[str], most: int | None = 10_000, radius: float | None = None) -> DataFrame:
+    """keys, s, r, t: robust Sim(3) of two clouds per group, from farthest points where a cloud has over `most`; with None from all
+    points, in time that grows with the product of both sizes. Groups of fewer than three points on a side give nothing."""
+    plain = lambda df: df.select(*keys, "idx", "x", "y", "z").dropna(subset=["x", "y", "z"])
+    taken = lambda df: plain(df).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))) if most is None else farthest_points(plain(df), keys, most)
+    a, b = taken(source).withColumn("side", F.lit(0)), taken(target).withColumn("side", F.lit(1))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = (pdf[pdf.side == k].sort_values("rank")[["x", "y", "z"]].to_numpy(float) for k in (0, 1))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cameras, depth, graphs, heavy_names, loader, stored, streams
+from . import cameras, depth, extras, graphs, heavy_names, loader, stored, streams
 
-_MODULES = [graphs, cameras, depth, loader, stored, heavy_names, streams]
+_MODULES = [graphs, cameras, depth, extras, loader, stored, heavy_names, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
