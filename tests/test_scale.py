@@ -10,6 +10,12 @@ def test_written_tables_are_counted_and_can_go(spark):
     empty = Workspace(spark, "t").write(spark.range(0))
     assert empty.rows == 0 and empty.df.collect() == []
     w.drop()
+    space = Workspace(spark, "t")
+    space.write(spark.range(3))
+    space.drop()
+    import os
+
+    assert not os.path.exists(space.root.removeprefix("file://"))
 
 
 def test_attach_joins_hot_and_cold_keys(spark):

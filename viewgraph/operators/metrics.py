@@ -183,9 +183,12 @@ def trajectory_errors(poses: DataFrame, keys: list[str], ts: str, gt: str = "gt"
 def last_pose_error(poses: DataFrame, keys: list[str], ts: str, gt: str = "gt", pred: str = "pred") -> DataFrame:
     """keys, error: distance of the last positions once the first poses are made equal."""
     ends = poses.groupBy(*keys).agg(*[f(c, ts).alias(f"{n}_{c}") for c in (gt, pred) for n, f in (("first", F.min_by), ("last", F.max_by))])
-    fix = g.compose(F.col(f"first_{gt}"), g.rigid_inverse(F.col(f"first_{pred}")))
-    moved = g.compose(fix, F.col(f"last_{pred}"))
-    return ends.select(*keys, g.center_distance(g.translation_of(moved), g.translation_of(F.col(f"last_{gt}"))).alias("error"))
+    # Only the position is asked for: out of the first predicted frame, and into the first true one.
+    p, t = F.col(f"first_{pred}"), F.col(f"last_{pred}")
+    away = [g.at(t, 4 * i + 3) - g.at(p, 4 * i + 3) for i in range(3)]
+    local = F.array(*[sum((g.at(p, 4 * k + i) * away[k] for k in range(3)), F.lit(0.0)) for i in range(3)])
+    moved = g.transform_point(F.col(f"first_{gt}"), local)
+    return ends.select(*keys, g.center_distance(moved, g.translation_of(F.col(f"last_{gt}"))).alias("error"))
 
 
 def main_axes(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -134,16 +134,17 @@ def voxel_iou(a: DataFrame, b: DataFrame, keys: list[str], size: float) -> DataF
     return out.withColumn("iou", F.col("n_common") / F.col("n_union"))
 
 
-def knn(vectors: DataFrame, id_col: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+def knn(vectors: DataFrame, id_col: str, vector: str, k: int, block: int = 16_384) -> DataFrame:
     """id, neighbour, similarity: the k most similar others of every row by cosine, ties to the lesser id.
 
     Rows come in blocks; every task compares a pair of blocks by one matrix product and keeps the k
-    best of each row, which are merged by id. Work is quadratic as the question is, but memory is two
-    blocks a task, and what is shuffled is blocks and k rows for each.
+    best of each row, which are merged by id. Work is quadratic as the question is, and so is what is shuffled, by the
+    number of blocks: every row meets every block. Memory is two blocks a task, so a larger block costs memory and saves shuffle.
+    Rows with a null id or vector take no part.
     """
-    n = vectors.count()
-    parts = max(1, -(-n // block))
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    whole = vectors.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull())
+    parts = max(1, -(-whole.count() // block))
+    rows = whole.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     left = rows.select("id", "v", F.col("p").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"), F.lit(0).alias("side"))
     right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.col("p").alias("j"), F.lit(1).alias("side"))
 

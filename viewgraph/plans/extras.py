@@ -117,9 +117,9 @@ def color_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reconstructions of cameras that are in no list, with the image path of a depth file of theirs."""
+    """Reconstructions of cameras that are in no list for training, with the image path of a depth file of theirs."""
     work = table(spark, sf_dir, "camera").select(F.concat("scene", F.lit(">"), "recon").alias("scene_recon_name")).distinct()
-    left = filters.not_done(work, table(spark, sf_dir, "recon_split").where("scene_recon_name is not null"), ["scene_recon_name"])
+    left = filters.not_done(work, table(spark, sf_dir, "recon_split").where("split = 'train'"), ["scene_recon_name"])
     return left.select("scene_recon_name", filters.image_path(F.concat("scene_recon_name", F.lit(".jpg.geometric.bin")), "/images/").alias("path"))
 
 
@@ -278,7 +278,7 @@ SQL = {
         SELECT scene, recon, point3d_id, {", ".join(f"round(coalesce(({c} - m{c}) / (s{c} + 1e-6) * ts{c} + tm{c}, {c}), 4) AS {c}" for c in "lab")} FROM lab JOIN s USING (scene, recon, image) JOIN w USING (scene, recon)""",
     "work_left": """
         SELECT DISTINCT scene || '>' || recon AS scene_recon_name, '/images/' || scene || '>' || recon || '.jpg' AS path FROM camera
-        WHERE scene || '>' || recon NOT IN (SELECT scene_recon_name FROM recon_split WHERE scene_recon_name IS NOT NULL)""",
+        WHERE scene || '>' || recon NOT IN (SELECT scene_recon_name FROM recon_split WHERE split = 'train' AND scene_recon_name IS NOT NULL)""",
     "filled_depths": f"WITH {depth._PIX} SELECT vec_id, label % 3 = 2 AS missing, 256::INT AS bytes, CASE WHEN label % 3 = 2 THEN 0 ELSE count_if(z > 0) END::INT AS kept FROM px GROUP BY vec_id, label",
     "leaf_trees_hold": "SELECT DISTINCT scene, recon, true AS holds FROM presampling_pairs WHERE matches_num > 16 AND replace(src, ' ', '_') <> replace(dst, ' ', '_')",
     "photometric_swap": f"""WITH {depth._PIX}, {_F32}, out AS (SELECT a.vec_id, CASE WHEN a.z / (b.z + 1e-6) > 1.1 THEN b.z ELSE a.z END AS z FROM f a JOIN f b ON b.vec_id = a.vec_id + 1 AND b.v = a.v AND b.u = a.u) {depth._KEPT}""",

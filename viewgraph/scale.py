@@ -48,6 +48,11 @@ def _remove(folder: str) -> None:
     shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @dataclass
 class Written:
     """A table in the shared folder, with what was observed while it was written."""
@@ -58,18 +63,24 @@ class Written:
     mark: int
 
     def drop(self) -> None:
-        spark = self.df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.df.sparkSession, self.path)
 
 
 class Workspace:
-    """Writes tables below the shared folder; each is counted in the same pass."""
+    """Writes tables below the shared folder; each is counted in the same pass. Results read them after an operator
+    has returned, so the tables stay until drop(), or until the driver's JVM ends, which deletes them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.root)
 
     def write(self, df: DataFrame, mark: Column | None = None) -> Written:
         """mark: an aggregate with a long value, such as bit_xor of row hashes."""

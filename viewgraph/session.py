@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "viewgraph", **conf) -> SparkSession:
-    """A session on one machine, for tests and the bench; a cluster brings its own."""
+    """A session on one machine, for tests and the bench; a cluster brings its own, with a folder in spark.checkpoint.dir."""
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "12g",
+        "spark.checkpoint.dir": f"file://{tempfile.gettempdir()}/viewgraph-{os.getpid()}",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
