@@ -55,3 +55,10 @@ def test_streams_are_bounded(spark):
     out = pack(df, "id", "text", kinds, "k", "c", stream_items=500)
     assert out.selectExpr("substring_index(container, '-', 2) AS s").distinct().count() == 6
     assert unused(out, kinds, "k", "c").first().unused < 0.05
+
+
+def test_a_long_stream_leaves_little_room(spark):
+    """More large items than containers may be open: those must not be closed before small items come."""
+    df = spark.range(30_000).selectExpr("id", "repeat('a', int(200 + pmod(xxhash64(id), 1500))) AS text")
+    kinds = spark.createDataFrame([("k", 2048)], "k string, c int")
+    assert unused(pack(df, "id", "text", kinds, "k", "c"), kinds, "k", "c").first().unused < 0.005

@@ -6,20 +6,24 @@ few operations on one integer. An item that fits nowhere opens a container; if t
 open, the fullest is closed first. Items larger than the capacity are cut: they fill containers
 of their own, and the remainder is placed like any item.
 
-Items are dealt to streams of bounded length by a hash, so there is no hot group, and each stream
-is ordered by falling size: large items open containers, small ones fill them.
+Items are dealt to streams of bounded length by a hash, so there is no hot group. A stream comes in the order of a hash, with
+a look-ahead of WINDOW items, which are placed by falling size: large items open containers, small ones fill them and those that
+are open from before. As a window opens fewer containers than may be open, none is closed before small items had their turn.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Items in a stream, at most about; a stream is one task's work.
-STREAM_ITEMS = 200_000
+STREAM_ITEMS = 50_000
+#: Items that a stream looks ahead.
+WINDOW = 4096
 #: Containers that a stream keeps open.
-OPEN_CONTAINERS = 4096
+OPEN_CONTAINERS = 8192
 
 PLACED = "kind string, item long, container string, piece int, n_pieces int, first_token long, n_tokens long"
 
@@ -84,7 +88,8 @@ def fill(sizes: list[int], capacity: int, most_open: int = OPEN_CONTAINERS) -> l
 
 
 def _stream(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["tokens", "item"], ascending=[False, True], kind="stable")
+    rows = rows.sort_values(["turn", "item", "tokens"], kind="stable")
+    rows = rows.iloc[np.lexsort((rows["item"], -rows["tokens"], np.arange(len(rows)) // WINDOW))]
     capacity = int(rows["capacity"].iloc[0])
     got = pd.DataFrame(fill(rows["tokens"].tolist(), capacity), columns=["at", "box", "piece", "n_pieces", "first_token", "n_tokens"])
     kind, stream = key
@@ -118,7 +123,8 @@ def pack(items: DataFrame, item: str, text: str, kinds: DataFrame, kind: str, ca
     streams = max(1, -(-items.count() // stream_items))
     sized = items.select(F.col(item).cast("long").alias("item"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("tokens"))
     each = F.array(*[F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["capacity"]).alias("capacity")) for r in rows])
-    dealt = sized.withColumn("stream", F.pmod(F.xxhash64("item", "tokens"), F.lit(streams))).select("item", "tokens", "stream", F.inline(each))
+    turn = F.xxhash64("tokens", "item")
+    dealt = sized.select("item", "tokens", F.pmod(F.xxhash64("item", "tokens"), F.lit(streams)).alias("stream"), turn.alias("turn"), F.inline(each))
     return dealt.groupBy("kind", "stream").applyInPandas(_stream, PLACED)
 
 
@@ -128,4 +134,4 @@ def unused(placed: DataFrame, kinds: DataFrame, kind: str, capacity: str) -> Dat
     total = boxes.groupBy("kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
     sizes = kinds.select(F.col(kind).alias("kind"), F.col(capacity).cast("long").alias("capacity")).distinct()
     room = F.col("containers") * F.col("capacity")
-    return total.join(F.broadcast(sizes.limit(1000)), "kind").select("kind", "containers", "tokens", room.alias("room"), (1 - F.col("tokens") / room).alias("unused"))
+    return total.join(sizes, "kind").select("kind", "containers", "tokens", room.alias("room"), (1 - F.col("tokens") / room).alias("unused"))
