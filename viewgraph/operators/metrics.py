@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from .quantiles import quantile
 
 THRESHOLDS = (5, 15, 30)
 
@@ -55,15 +56,21 @@ def auc_fine(error: Column, threshold: int) -> Column:
     return F.avg(F.when((error >= 0) & (error <= threshold), (bins - bin_of) / bins).otherwise(0.0))
 
 
-def pose_summary(pairs: DataFrame, keys: list[str], thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
-    """Accuracies, AUC, means and medians over all pairs of the groups (a micro average)."""
+def pose_summary(pairs: DataFrame, keys: list[str], thresholds: tuple[int, ...] = THRESHOLDS, in_rounds: bool = False) -> DataFrame:
+    """Accuracies, AUC, means and medians over all pairs of the groups (a micro average). Medians are exact; in_rounds finds them by
+    rounds of counts, for groups whose distinct errors don't fit one task. pairs should then be a written table."""
     both = F.greatest("r_error", "t_error")
     aggs = []
     for t in thresholds:
         aggs += [accuracy(F.col("r_error"), t).alias(f"racc_{t}"), accuracy(F.col("t_error"), t).alias(f"tacc_{t}"), auc(both, t).alias(f"auc_{t}")]
     for c in ("r_error", "t_error"):
-        aggs += [F.avg(c).alias(f"mean_{c}"), F.percentile(c, F.lit(0.5)).alias(f"median_{c}")]
-    return pairs.groupBy(*keys).agg(*aggs)
+        aggs.append(F.avg(c).alias(f"mean_{c}"))
+        if not in_rounds:
+            aggs.append(F.percentile(c, F.lit(0.5)).alias(f"median_{c}"))
+    out = pairs.groupBy(*keys).agg(*aggs)
+    for c in ("r_error", "t_error") if in_rounds else ():
+        out = out.join(quantile(pairs, keys, c, 0.5).withColumnRenamed("value", f"median_{c}"), keys, "left")
+    return out
 
 
 def lower_median(c: str) -> Column:

@@ -14,6 +14,7 @@ from ..operators import graph as gr
 from ..operators import metrics as mt
 from ..operators import nearest as nn
 from ..operators import registration as reg
+from ..operators.quantiles import quantile
 from ..scale import Workspace
 from ..session import table
 from ..sources import files
@@ -91,6 +92,13 @@ def fine_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(mt.auc_fine(F.col("value"), 60), 6).alias("auc"))
 
 
+def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of event values by rounds of counts, that keep 100 values of a type at most."""
+    rows = table(spark, sf_dir, "events").where("event_type is not null").select("event_type", "value")
+    a, b = (quantile(rows, ["event_type"], "value", s, 100) for s in (0.5, 0.98))
+    return a.select("event_type", F.round("value", 6).alias("q50")).join(b.select("event_type", F.round("value", 6).alias("q98")), "event_type")
+
+
 def trajectory_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = g.translation_of(F.col("gt"))
     rows = loader._moved(spark, sf_dir).select(*KEYS, *[g.at(p, i).alias(c) for i, c in enumerate("xyz")])
@@ -223,7 +231,7 @@ def robust_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    relative_poses, orientation_turns, quarter_turn_poses, covisible_points, similar_points, ray_codes, value_codes, fine_auc, trajectory_axes, normal_consistency, color_transfer, work_left, filled_depths,
+    relative_poses, orientation_turns, quarter_turn_poses, covisible_points, similar_points, ray_codes, value_codes, fine_auc, value_quantiles, trajectory_axes, normal_consistency, color_transfer, work_left, filled_depths,
     leaf_trees_hold, hops, ordinal_labels, component_labels, merged_chunks, robust_fits,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"photometric_swap": photometric_swap, "sky_cut": sky_cut}
@@ -264,6 +272,7 @@ SQL = {
                round(greatest(x, 0), 6) AS relu, round(x, 6) AS linear, round(sin(v), 6) AS s0, round(sin(v/100), 6) AS s1, round(cos(v), 6) AS s2, round(cos(v/100), 6) AS s3,
                floor(v/120*255)::INT AS byte, 1/(1 + exp(5 - v/10)) > 0.2 AS sure, (floor(trunc(v)/14)*14)::INT AS size FROM e""",
     "fine_auc": "SELECT user_id, round(avg(CASE WHEN value BETWEEN 0 AND 60 THEN (61 - least(floor(value*61/60), 60)) / 61 ELSE 0 END), 6) AS auc FROM events GROUP BY user_id",
+    "value_quantiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.98), 6) AS q98 FROM events WHERE event_type IS NOT NULL GROUP BY event_type",
     "trajectory_axes": f"""
         WITH {loader._motion_sql()}, v AS (SELECT scene, recon, var_pop(gt[1]) AS x, var_pop(gt[2]) AS y, var_pop(gt[3]) AS z FROM pose GROUP BY ALL),
         l AS (SELECT scene, recon, list_sort([{{'v': -x, 'a': 'x'}}, {{'v': -y, 'a': 'y'}}, {{'v': -z, 'a': 'z'}}]) AS s FROM v) SELECT scene, recon, s[1].a || s[2].a AS axes FROM l""",

@@ -16,6 +16,7 @@ from ..operators import metrics as mt
 from ..operators import nearest as nn
 from ..operators import registration as reg
 from ..operators import samplers
+from ..scale import Workspace
 
 KEYS = ["scene", "recon"]
 
@@ -91,8 +92,8 @@ def clean_depths(depths: DataFrame, classes: DataFrame, priors: DataFrame | None
 
 def evaluate_poses(poses: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(per sequence, over all pairs of a model and data set): keys name model, data set and sequence in this order."""
-    pairs = mt.pose_pairs(poses, keys)
-    return mt.pose_summary(pairs, keys), mt.pose_summary(pairs, keys[:-1])
+    pairs = Workspace(poses.sparkSession, "poses").write(mt.pose_pairs(poses, keys)).df
+    return mt.pose_summary(pairs, keys), mt.pose_summary(pairs, keys[:-1], in_rounds=True)
 
 
 def evaluate_clouds(gt: DataFrame, pred: DataFrame, keys: list[str], threshold: float = 0.1, icp_rounds: int = 30) -> tuple[DataFrame, DataFrame]:
