@@ -282,9 +282,9 @@ def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item
         for ids, texts in _portions(batches):
             wordy = [words_of(t) for t in texts]
             for shared in blocks:
-                # One block is kept by the worker; of several, each is loaded for a portion and let go.
-                index = shared.value if len(blocks) == 1 else shared.load_from_path(shared._path)
-                rows = index.leaks(ids, wordy)
+                rows = shared.value.leaks(ids, wordy)
+                if len(blocks) > 1 and getattr(shared, "_path", None):
+                    shared.__dict__.pop("_value", None)  # of several blocks a worker holds one; the next portion loads it from the executor's file
                 if rows is not None:
                     yield rows
 

@@ -213,6 +213,28 @@ def _runs_sql(name: str, table: str, key: str, n: int = 13) -> str:
         {name} AS (SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS run FROM {name}_w, unnest(range(1, len(w) - {n - 2})) AS t(i))"""
 
 
+def _near_sql() -> str:
+    """Passages within one word edit: the same run, or runs that are equal once a word is taken out of either or of both at one place."""
+    words = lambda table, key: f"SELECT DISTINCT {key}, regexp_extract_all(regexp_replace(lower(text), '([{_CHARACTER}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}{_CHARACTER}]+') AS w FROM {table} WHERE {key} IS NOT NULL"
+    run = lambda n: f"array_to_string(w[s:s + {n - 1}], ' ')"
+    less = lambda n: f"array_to_string(list_concat(w[s:s + k - 2], w[s + k:s + {n - 1}]), ' ')"  # noqa: E731  # without the k-th word
+    return f"""
+        WITH iw AS ({words('eval_items', 'item_id')}), dw AS ({words('documents', 'doc_id')}),
+        i AS (SELECT item_id, w, s FROM iw, unnest(range(1, len(w) - 11)) AS t(s)),
+        pieces AS (SELECT DISTINCT {run(6)} AS piece FROM iw, unnest(range(1, len(w) - 4)) AS t(s) WHERE len(w) >= 13),
+        hits AS (SELECT doc_id, s AS p FROM (SELECT doc_id, s, {run(6)} AS piece FROM dw, unnest(range(1, len(w) - 4)) AS t(s)) JOIN pieces USING (piece)),
+        starts AS (SELECT DISTINCT doc_id, p - o AS s FROM hits, range(9) AS t(o) WHERE p > o),
+        d AS (SELECT doc_id, w, s FROM starts JOIN dw USING (doc_id)),
+        whole AS (SELECT DISTINCT item_id, {run(13)} AS run FROM i),
+        gone AS (SELECT DISTINCT item_id, k, {less(13)} AS run FROM i, range(1, 14) AS t(k)),
+        found AS (
+            SELECT item_id, doc_id, 0 AS errors FROM whole JOIN (SELECT doc_id, {run(13)} AS run FROM d WHERE s + 12 <= len(w)) USING (run)
+            UNION ALL SELECT item_id, doc_id, 1 FROM gone JOIN (SELECT doc_id, {run(12)} AS run FROM d WHERE s + 11 <= len(w)) USING (run)
+            UNION ALL SELECT item_id, doc_id, 1 FROM gone JOIN (SELECT doc_id, k, {less(13)} AS run FROM d, range(1, 14) AS t(k) WHERE s + 12 <= len(w)) USING (k, run)
+            UNION ALL SELECT item_id, doc_id, 1 FROM whole JOIN (SELECT doc_id, {less(14)} AS run FROM d, range(1, 15) AS t(k) WHERE s + 13 <= len(w)) USING (run))
+        SELECT item_id, doc_id, min(errors)::INT AS errors FROM found GROUP BY ALL"""
+
+
 _BYTES = "SELECT DISTINCT container_kind, doc_id FROM documents, container_size WHERE strlen(text) > capacity_tokens"
 _GROUPS = """
         WITH RECURSIVE k AS (
@@ -253,4 +275,5 @@ SQL = {
         SELECT container_kind, count(*) AS docs, sum(coalesce(strlen(text), 0))::BIGINT AS tokens, 0::BIGINT AS broken, 0::BIGINT AS cut_without_need, 0::BIGINT AS overfull, true AS "full"
         FROM documents, (SELECT DISTINCT container_kind FROM container_size) GROUP BY container_kind""",
     "p7_found": f"WITH {_runs_sql('a', 'eval_items', 'item_id')}, {_runs_sql('b', 'documents', 'doc_id')} SELECT DISTINCT item_id, doc_id FROM a JOIN b USING (run)",
+    "p7_near": _near_sql(),
 }
