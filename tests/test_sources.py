@@ -19,6 +19,7 @@ def tables(spark):
 
 @pytest.mark.parametrize("ext", [".bin", ".txt"])
 def test_models_go_round(spark, tables, tmp_path, ext):
+    tmp_path = tmp_path / "a b%20c"
     for name, df in tables.items():
         models.write_models(df.withColumn("folder", F.lit(str(tmp_path))), name, "folder", df.columns[0], ext).collect()
     assert models.detect_format(str(tmp_path)) == ext
@@ -27,6 +28,8 @@ def test_models_go_round(spark, tables, tmp_path, ext):
         assert sorted(map(repr, back[name].collect())) == sorted(map(repr, df.collect()))
     assert models.normalised(back["images"]).count() == 2
     assert models.read_model(spark, str(tmp_path / "none")) is None
+    (tmp_path / f"cameras{ext}").write_bytes(b"")  # an empty file has no row, and stops nothing
+    assert models.read_table(spark, str(tmp_path / f"cameras{ext}"), "cameras", ext).collect() == []
 
 
 def test_text_headers_hold_means(spark, tables, tmp_path):

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import mmap
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CAMERA, CAMERA_IDS, CAMERA_MODELS, IMAGE, POINT3D
-from .storage import exists, put
+from .storage import exists, opened, put
 
 TABLES = {"cameras": CAMERA, "images": IMAGE, "points3D": POINT3D}
 
 
 class Bytes:
-    """Reads little-endian values one after another."""
+    """Reads little-endian values one after another, from bytes or a mapped file."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | mmap.mmap):
         self.data, self.at = data, 0
 
     def take(self, form: str) -> tuple:
@@ -27,13 +28,15 @@ class Bytes:
         return out
 
     def text(self) -> str:
-        end = self.data.index(b"\0", self.at)
+        end = self.data.find(b"\0", self.at)
+        if end < 0:
+            raise ValueError("a name has no end")
         out = self.data[self.at : end].decode("utf-8")
         self.at = end + 1
         return out
 
 
-def parse_cameras(data: bytes) -> Iterator[tuple]:
+def parse_cameras(data: bytes | mmap.mmap) -> Iterator[tuple]:
     f = Bytes(data)
     for _ in range(f.take("Q")[0]):
         camera, model, width, height = f.take("iiQQ")
@@ -41,7 +44,7 @@ def parse_cameras(data: bytes) -> Iterator[tuple]:
         yield camera, name, width, height, list(f.take(f"{n}d"))
 
 
-def parse_images(data: bytes) -> Iterator[tuple]:
+def parse_images(data: bytes | mmap.mmap) -> Iterator[tuple]:
     f = Bytes(data)
     for _ in range(f.take("Q")[0]):
         image, *pose, camera = f.take("idddddddi")
@@ -50,7 +53,7 @@ def parse_images(data: bytes) -> Iterator[tuple]:
         yield image, pose[:4], pose[4:], camera, name, [list(p) for p in zip(flat[0::3], flat[1::3])], list(flat[2::3])
 
 
-def parse_points(data: bytes) -> Iterator[tuple]:
+def parse_points(data: bytes | mmap.mmap) -> Iterator[tuple]:
     f = Bytes(data)
     for _ in range(f.take("Q")[0]):
         point, x, y, z, r, g, b, error = f.take("QdddBBBd")
@@ -58,20 +61,23 @@ def parse_points(data: bytes) -> Iterator[tuple]:
         yield point, [x, y, z], [r, g, b], error, list(track[0::2]), list(track[1::2])
 
 
-def _lines(text: str, keep_empty: bool = False) -> list[str]:
-    lines = [x.strip() for x in text.split("\n")]
-    return [x for x in lines if not x.startswith("#") and (x or keep_empty)]
+def _lines(data: bytes | Iterable[bytes], keep_empty: bool = False) -> Iterator[str]:
+    """Lines of bytes or of a file, without comments."""
+    for line in data.split(b"\n") if isinstance(data, bytes) else data:
+        x = line.decode("utf-8").strip()
+        if not x.startswith("#") and (x or keep_empty):
+            yield x
 
 
-def parse_cameras_text(data: bytes) -> Iterator[tuple]:
-    for line in _lines(data.decode("utf-8")):
+def parse_cameras_text(data: bytes | Iterable[bytes]) -> Iterator[tuple]:
+    for line in _lines(data):
         camera, model, width, height, *params = line.split()
         yield int(camera), model, int(width), int(height), [float(x) for x in params]
 
 
-def parse_images_text(data: bytes) -> Iterator[tuple]:
+def parse_images_text(data: bytes | Iterable[bytes]) -> Iterator[tuple]:
     """Two lines an image; the second, its points, may be empty."""
-    lines = iter(_lines(data.decode("utf-8"), keep_empty=True))
+    lines = _lines(data, keep_empty=True)
     for line in lines:
         if not line:
             continue
@@ -81,8 +87,8 @@ def parse_images_text(data: bytes) -> Iterator[tuple]:
         yield int(head[0]), [float(x) for x in head[1:5]], [float(x) for x in head[5:8]], int(head[8]), head[9], xys, [int(x) for x in points[2::3]]
 
 
-def parse_points_text(data: bytes) -> Iterator[tuple]:
-    for line in _lines(data.decode("utf-8")):
+def parse_points_text(data: bytes | Iterable[bytes]) -> Iterator[tuple]:
+    for line in _lines(data):
         v = line.split()
         yield int(v[0]), [float(x) for x in v[1:4]], [int(x) for x in v[4:7]], float(v[7]), [int(x) for x in v[8::2]], [int(x) for x in v[9::2]]
 
@@ -95,23 +101,25 @@ BATCH = 5_000
 
 
 def read_table(spark: SparkSession, pattern: str, table: str, ext: str) -> DataFrame:
-    """Rows of all files of one table that match a path pattern, with their path: files are read in parallel,
-    and a large file comes out in batches."""
+    """Rows of all files of one table that match a path pattern, with their path: files are read in parallel, and a file of any
+    size comes out in batches. Text is read line by line, and a local binary file is mapped, so neither is held
+    whole; binary files of other file systems are."""
     parse, schema = PARSERS[table, ext], TABLES[table]
     names = [x.split()[0] for x in schema.split(", ") if " " in x]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path in pdf["path"]:
                 held = []
-                for row in parse(bytes(content)):
-                    held.append((path, *row))
-                    if len(held) == BATCH:
-                        yield pd.DataFrame(held, columns=["path", *names])
-                        held = []
+                with opened(path, ext == ".bin") as content:
+                    for row in parse(content):
+                        held.append((path, *row))
+                        if len(held) == BATCH:
+                            yield pd.DataFrame(held, columns=["path", *names])
+                            held = []
                 yield pd.DataFrame(held, columns=["path", *names])
 
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    files = spark.read.format("binaryFile").load(pattern).select("path")  # contents are not read here
     return files.mapInPandas(rows, "path string, " + schema)
 
 

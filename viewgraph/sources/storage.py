@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import mmap
+import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyarrow import fs
@@ -27,6 +31,24 @@ def put(path: str, data: bytes) -> None:
     system.move(part, at)
 
 
+@contextmanager
+def opened(path: str, binary: bool) -> Iterator:
+    """A file's content: bytes or a mapped local file if binary, else its lines."""
+    system, at = located(path)
+    if isinstance(system, fs.LocalFileSystem):
+        with open(at, "rb") as f:
+            if not binary:
+                yield f
+            elif os.fstat(f.fileno()).st_size:
+                with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
+                    yield mapped
+            else:
+                yield b""
+        return
+    with system.open_input_stream(at) as f:
+        yield f.read() if binary else io.BufferedReader(f)
+
+
 def exists(path: str) -> bool:
     system, at = located(path)
     return system.get_file_info(at).type == fs.FileType.File
