@@ -23,7 +23,9 @@ def pose_pairs(poses: DataFrame, keys: list[str], frame: str = "frame") -> DataF
     whole = poses.where(F.col("gt").isNotNull() & F.col("pred").isNotNull())
     turn = g.multiply(g.transpose(g.rotation_of(F.col("pred"))), g.rotation_of(F.col("gt")))
     per = whole.select(*keys, F.col(frame).alias("f"), turn.alias("m"), g.camera_center(F.col("gt")).alias("c"), g.camera_center(F.col("pred")).alias("d"))
-    both = per.toDF(*keys, "i", "mi", "ci", "di").join(per.toDF(*keys, "j", "mj", "cj", "dj"), keys).where("i < j")
+    # Each frame meets all of its sequence: few bytes, much work, so frames are spread over all tasks by number, not by size.
+    tasks = int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = per.toDF(*keys, "i", "mi", "ci", "di").repartition(tasks, *keys, "i").join(per.toDF(*keys, "j", "mj", "cj", "dj"), keys).where("i < j")
     vec = lambda c, n: g.vector(F.col(c), n)
     trace = g.dot(vec("mi", 9), vec("mj", 9))
     gt = [x - y for x, y in zip(vec("ci", 3), vec("cj", 3))]
