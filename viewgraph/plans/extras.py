@@ -250,7 +250,7 @@ _REACH = """reach AS (SELECT vec_id, v, u, v AS y, u AS x FROM core UNION
 _TURNS = {1: (1, 0, 0, 1), 2: (-1, 0, 0, 1), 3: (-1, 0, 0, -1), 4: (1, 0, 0, -1), 5: (0, 1, 1, 0), 6: (0, 1, -1, 0), 7: (0, -1, -1, 0), 8: (0, -1, 1, 0)}
 
 SQL = {
-    "relative_poses": f"""WITH {loader._motion_sql()} SELECT scene, recon, image_id, {", ".join(f"round({c}, 6) AS m{4 * (i // 3) + i % 3}" for i, c in enumerate(_REL_R))}, {", ".join(f"round({c}, 6) AS m{4 * i + 3}" for i, c in enumerate(_REL_T))} FROM pose""",
+    "relative_poses": f"""WITH {loader._motion_sql()} SELECT scene, recon, image_id, {", ".join(f"round({c}, 6) + 0 AS m{4 * (i // 3) + i % 3}" for i, c in enumerate(_REL_R))}, {", ".join(f"round({c}, 6) + 0 AS m{4 * i + 3}" for i, c in enumerate(_REL_T))} FROM pose""",
     "orientation_turns": "SELECT DISTINCT (user_id % 9)::INT AS o, " + ", ".join(
         f"CASE user_id % 9 {' '.join(f'WHEN {o} THEN {m[i]}' for o, m in _TURNS.items())} ELSE {(1, 0, 0, 1)[i]} END::INT AS r{n}" for i, n in enumerate((0, 1, 3, 4))
     ) + ", 1::INT AS r8 FROM events",
@@ -260,7 +260,7 @@ SQL = {
                round(CASE WHEN c THEN t0 ELSE -t0 END, 6) AS m7, round(t0, 6) AS w3, round(t1, 6) AS w7 FROM w""",
     "covisible_points": f"""
         WITH {_POINTS}, q AS (SELECT scene, recon, 100*xyz[1]/(xyz[3]+5) + 50 AS u, 100*xyz[2]/(xyz[3]+5) + 40 AS v, xyz[3]+5 AS z, (xyz[3]+5) * (0.9::DOUBLE + (point3d_id % 5) * 0.04::DOUBLE) AS seen FROM (SELECT DISTINCT scene, recon, point3d_id, xyz FROM p))
-        SELECT scene, recon, count_if(z > 0 AND u BETWEEN 0 AND 99 AND v BETWEEN 0 AND 79 AND seen > 0 AND abs(z - seen) / seen < 0.05) AS covisible, round(sum(z) FILTER (z > 0.1), 5) AS depth FROM q GROUP BY ALL""",
+        SELECT scene, recon, count_if(z > 0 AND u BETWEEN 0 AND 99 AND v BETWEEN 0 AND 79 AND seen > 0 AND abs(z - seen) / seen < 0.05)::BIGINT AS covisible, round(sum(z) FILTER (z > 0.1), 5) AS depth FROM q GROUP BY ALL""",
     "similar_points": "WITH p AS (SELECT DISTINCT scene, recon, point3d_id, xyz FROM point3d) SELECT scene, recon, point3d_id, round(1 - 1.5*xyz[2], 6) AS p0, round(2 + 1.5*xyz[1], 6) AS p1, round(3 + 1.5*xyz[3], 6) AS p2 FROM p",
     "ray_codes": f"""
         WITH {_POINTS}, n AS (SELECT *, sqrt((rgb[1]+1)::DOUBLE*(rgb[1]+1) + (rgb[2]+1)::DOUBLE*(rgb[2]+1) + (rgb[3]+1)::DOUBLE*(rgb[3]+1)) AS l FROM p),
@@ -301,7 +301,7 @@ SQL = {
         SELECT e.vec_id, count_if(size > 3.2 AND z >= c)::INT AS far FROM embeddings e LEFT JOIN part USING (vec_id) LEFT JOIN f ON f.vec_id = part.vec_id AND f.v = part.v AND f.u = part.u LEFT JOIN cut ON cut.vec_id = e.vec_id GROUP BY e.vec_id""",
     "merged_chunks": """
         WITH p AS (SELECT DISTINCT scene, recon, point3d_id, xyz FROM point3d WHERE xyz[1] IS NOT NULL), k AS (SELECT scene, recon FROM p GROUP BY ALL HAVING count(*) >= 60)
-        SELECT scene, recon, (point3d_id % 8)::INT AS frame, point3d_id AS pix, round(xyz[1], 3) AS x, round(xyz[2], 3) AS y, round(xyz[3], 3) AS z,
+        SELECT scene, recon, (point3d_id % 8)::INT AS frame, point3d_id AS pix, round(xyz[1], 3) + 0 AS x, round(xyz[2], 3) + 0 AS y, round(xyz[3], 3) + 0 AS z,
                CASE WHEN point3d_id % 8 IN (2, 3, 4, 5) THEN 2 ELSE 1 END::INT AS votes FROM p JOIN k USING (scene, recon)""",
     "robust_fits": "SELECT scene, recon, true AS near FROM (SELECT DISTINCT scene, recon, point3d_id, xyz FROM point3d WHERE xyz[1] IS NOT NULL) GROUP BY ALL HAVING count(*) >= 40",
     "hops": """

@@ -183,7 +183,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.pandas_udf(head, "binary")("image_id", "width", "height")
     _done(storage.write_files(rows.select(path.alias("path"), content.alias("content")), "path", "content"))
     kept = images.kept_images(images.read_metadata(spark, root))
-    return kept.select(*_of_path(F.col("path"), 1), F.regexp_extract("path", r"(\d+)(pano)?\.jpg$", 1).cast("int").alias("image_id"), "width", "height", "has_exif", "orientation", "make", "lens")
+    return kept.select(*_of_path(F.col("path"), 1), F.regexp_extract("path", r"(\d+)(pano)?\.jpg$", 1).cast("int").alias("image_id"), "width", "height", "has_exif", F.coalesce("orientation", F.lit(0)).alias("orientation"), "make", "lens")
 
 
 # Lists, metrics, trajectories, clouds
@@ -284,7 +284,7 @@ _IMAGES = """
     SELECT scene, recon, image_id, name, camera_id::BIGINT AS camera_id, round(qvec[1], 9) AS qw, round(qvec[4], 9) AS qz, round(tvec[3], 9) AS tz, n, xs, ys, ids FROM i JOIN p USING (scene, recon, image_id)"""
 _POINTS = """
     WITH p AS (SELECT DISTINCT scene, recon, point3d_id, xyz, rgb, coalesce(error, -1) AS error, image_ids, point2d_idxs FROM point3d)
-    SELECT scene, recon, point3d_id, round(xyz[1], 9) AS x, round(xyz[2], 9) AS y, round(xyz[3], 9) AS z, list_sum(rgb)::BIGINT AS rgb, round(error, 9) AS error,
+    SELECT scene, recon, point3d_id, round(xyz[1], 9) + 0 AS x, round(xyz[2], 9) + 0 AS y, round(xyz[3], 9) + 0 AS z, list_sum(rgb)::BIGINT AS rgb, round(error, 9) AS error,
            len(image_ids) AS n, coalesce(list_sum(image_ids), 0)::BIGINT AS images, coalesce(list_sum(point2d_idxs), 0)::BIGINT AS places FROM p"""
 _DEPTH = "SELECT vec_id, round(sum((greatest(embedding[i]::DOUBLE, 0) * 10)::FLOAT::DOUBLE * i), 3) AS placed, count_if(embedding[i] > 0)::BIGINT AS valid FROM embeddings, unnest(range(1, 65)) AS t(i) WHERE len(embedding) = 64 GROUP BY vec_id"
 _POSE = "p AS (SELECT scene, recon, image_id, min({'qvec': qvec, 'tvec': tvec}) AS p FROM image WHERE qvec IS NOT NULL AND tvec IS NOT NULL GROUP BY ALL)"
@@ -310,7 +310,7 @@ SQL = {
         i AS (SELECT DISTINCT scene, recon, image_id, camera_id, name FROM image),
         j AS (SELECT i.*, width, height, image_id % 5 <> 0 AS e, greatest(width, height) / least(width, height) >= 3 OR image_id % 6 = 0 AS wide,
               image_id % 7 = 0 OR image_id % 13 = 0 OR image_id % 11 = 0 AS round FROM i JOIN c USING (scene, recon, camera_id) WHERE image_id % 17 <> 0)
-        SELECT scene, recon, image_id, width::INT AS width, height::INT AS height, e AS has_exif, CASE WHEN e THEN (image_id % 8 + 1)::INT END AS orientation,
+        SELECT scene, recon, image_id, width::INT AS width, height::INT AS height, e AS has_exif, CASE WHEN e THEN image_id % 8 + 1 ELSE 0 END::INT AS orientation,
                CASE WHEN e THEN 'maker' ELSE '' END AS make, CASE WHEN e THEN 'prime lens' ELSE '' END AS lens FROM j WHERE NOT e OR NOT (round OR wide)""",
     "split_lists": "SELECT DISTINCT split, split_part(scene_recon_name, '>', 1) AS scene, regexp_extract(scene_recon_name, '[^>]*$') AS recon FROM recon_split WHERE split IS NOT NULL AND scene_recon_name IS NOT NULL",
     "sequence_ids": """
