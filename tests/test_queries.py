@@ -7,6 +7,9 @@ from viewgraph.plans import registry
 SMALL = Path("/root/testdata/sf0.001")
 CHECKED = ["co_observation_edges", "match_graph", "rotations", "pose_summary", "depth_errors", "nearest_points", "stream_daily_counts", "p5_profile"]
 
+#: Quaternions whose rotations have entries a last bit from half of 1e-6, at even and odd places.
+TIES = [q for q in ((0.9314, 0.2313, -0.0425, 0.278), (0.914, 0.1954, 0.0581, -0.3508), (0.7, -0.592, 0.319, -0.2405), (0.8342, 0.2496, 0.4803, 0.1054)) for _ in range(2)]
+
 
 def norm(v):
     if v is None or v != v:
@@ -36,3 +39,14 @@ def test_the_entry_has_all_queries_without_repeats():
 
     names = [n for m in registry._MODULES for n in m.QUERIES]
     assert len(names) == len(set(names)) and set(names) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_quarter_turns_round_as_sql_does(spark, tmp_path):
+    rows = [("s", "0", i, list(q), [1.0, 2.0, 3.0]) for i, q in enumerate(TIES)]
+    spark.createDataFrame(rows, "scene string, recon string, image_id long, qvec array<double>, tvec array<double>").write.parquet(str(tmp_path / "image.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW image AS SELECT * FROM '{tmp_path}/image.parquet/*.parquet'")
+    got = registry.queries()["quarter_turn_poses"](spark, str(tmp_path)).toPandas()
+    want = con.sql(registry.oracle_sql()["quarter_turn_poses"]).df()
+    exact = [sorted(f[sorted(f.columns)].itertuples(index=False, name=None)) for f in (got, want)]
+    assert len(exact[0]) == len(TIES) and exact[0] == exact[1]

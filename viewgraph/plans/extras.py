@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, raster
@@ -31,6 +31,11 @@ def _spread(prefix: str, m, n: int, digits: int = 6) -> list:
 # Poses and points
 
 
+def _scaled_round(c: Column, digits: int) -> Column:
+    """Rounds as SQL does, the scaled number. F.round takes the shortest decimal, which at a half goes the other way: 0.6807974999999999 times 1e6 is a half."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def relative_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pose of each image relative to the prediction of it."""
     rows = loader._moved(spark, sf_dir).select(*KEYS, "image_id", g.compose(g.rigid_inverse(F.col("gt")), F.col("pred")).alias("m"))
@@ -46,7 +51,7 @@ def orientation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quarter_turn_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     w2c = g.rigid_inverse(F.col("gt"))
     rows = loader._moved(spark, sf_dir).select(*KEYS, "image_id", g.quarter_turn_extrinsics(w2c, F.col("image_id") % 2 == 0).alias("m"), w2c.alias("was"))
-    return rows.select(*KEYS, "image_id", *[F.round(g.at(F.col("m"), i), 6).alias(f"m{i}") for i in (0, 3, 4, 7)], *[F.round(g.at(F.col("was"), i), 6).alias(f"w{i}") for i in (3, 7)])
+    return rows.select(*KEYS, "image_id", *[_scaled_round(g.at(F.col("m"), i), 6).alias(f"m{i}") for i in (0, 3, 4, 7)], *[_scaled_round(g.at(F.col("was"), i), 6).alias(f"w{i}") for i in (3, 7)])
 
 
 def covisible_points(spark: SparkSession, sf_dir: str) -> DataFrame:
