@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from viewgraph.operators import nearest, registration
+from viewgraph.operators import clouds, nearest, registration
 from viewgraph.plans import registry
 
 
@@ -48,6 +48,43 @@ def test_nearest_needs_no_cell_and_takes_dense_and_distant_points(spark):
     assert near == {i for i in range(len(a)) if d[i].min() <= 0.7}
 
 
+@pytest.mark.parametrize("name", ["cloud_accuracy"])
+def test_clouds_are_compared_without_tables_or_broadcasts_of_points(spark, folder, monkeypatch, name):
+    made = []
+    write, broadcast = nearest.Workspace.write, nearest.F.broadcast
+    monkeypatch.setattr(nearest.Workspace, "write", lambda *a, **k: made.append("table") or write(*a, **k))
+    monkeypatch.setattr(nearest.F, "broadcast", lambda df: made.append("broadcast") or broadcast(df))
+    assert registry.queries()[name](spark, folder[0]).count() > 0
+    assert not made
+
+
+def test_large_and_small_groups_give_the_same_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = lambda n, groups: [(k, i % 97, *map(float, v)) for k in groups for i, v in enumerate(rng.integers(0, 5, (n, 3)))]
+    schema = "k string, idx long, x double, y double, z double"
+    a = spark.createDataFrame([*rows(120, "ab"), *rows(20, "c"), ("d", 1, 0.0, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0)], schema)
+    b = spark.createDataFrame([*rows(110, "ab"), *rows(10, "c"), ("e", 1, 0.0, 0.0, 0.0), (None, 2, 0.0, 0.0, 0.0)], schema)
+    got = lambda: [{(r.k, r.idx): (r.nn, r.distance) for r in side.collect()} for side in nearest.nearest_both(a, b, ["k"])]
+    whole = got()
+    monkeypatch.setattr(clouds, "WHOLE_ROWS", 100)
+    assert got() == whole and [len(w) for w in whole] == [97 * 2 + 20, 97 * 2 + 10]
+    p, q = a.toPandas(), b.toPandas()
+    for w, x, y in ((whole[0], p, q), (whole[1], q, p)):
+        pairs = x.dropna().merge(y.dropna(), on="k")
+        pairs["d"] = np.sqrt((pairs.x_x - pairs.x_y) ** 2 + (pairs.y_x - pairs.y_y) ** 2 + (pairs.z_x - pairs.z_y) ** 2)
+        first = pairs.sort_values(["d", "idx_y"]).drop_duplicates(["k", "idx_x"])
+        assert w == {(r.k, r.idx_x): (r.idx_y, r.d) for r in first.itertuples()}
+
+
+def test_the_tree_is_exact_for_ties_dense_and_distant_points():
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.integers(0, 6, (900, 3)), rng.normal(size=(300, 3)) * 1e-6, [[1e9, 0, 0]], np.zeros((400, 3))]).astype(float)
+    q = np.concatenate([rng.uniform(-1, 7, (500, 3)), rng.integers(0, 6, (300, 3)), [[-1e8, 5, 5]]]).astype(float)
+    at, d = clouds.Tree(p).near(q)
+    every = clouds._distances(q, p)
+    assert (at == every.argmin(1)).all() and (d == every.min(1)).all()
+
+
 def test_normals_are_those_of_the_nearest_points(spark):
     rng = np.random.default_rng(5)
     p = np.concatenate([rng.normal(size=(60, 3)) * [3, 3, 0.05], [[40, 1, 0]]])

@@ -2,25 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scale import BROADCAST_NAMES, Workspace, small
+from . import clouds
+
+
+def _finite(df: DataFrame, keys: list[str]) -> DataFrame:
+    for c in keys:
+        df = df.where(F.col(c).isNotNull())
+    for c in "xyz":
+        df = df.where(F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(1e300)))
+    return df.select(*keys, "idx", "x", "y", "z")
 
 
 def nearest(queries: DataFrame, points: DataFrame, keys: list[str], cell: float | None = None, radius: float | None = None) -> DataFrame:
     """keys, idx, nn, distance: the nearest of points (keys, idx, x, y, z) to each query of the same group.
 
-    A grid of cells meets the 27 around a query by an equi-join; a neighbour within one cell's side is
+    Tasks take whole groups in arrays, after one shuffle. Groups of over clouds.WHOLE_ROWS rows are searched by joins of grids,
+    whose first cells have the side given, so a cloud may have any size. Both are exact at any density.
+    Ties go to the lesser idx. Queries of groups without points, and queries and
+    points with null or infinite coordinates, give nothing. With a radius, neighbours further away give nothing.
+    """
+    queries, points = _finite(queries, keys), _finite(points, keys)
+    large = clouds.large_groups(queries, points, keys)
+    (q, big_q), (p, big_p) = (clouds.apart(df, keys, large) for df in (queries, points))
+    out = _searched(clouds.side_by_side(q, p, keys), queries, points, keys, 0)
+    if large:
+        out = out.unionByName(nearest_by_grids(big_q, big_p, keys, cell))
+    return out if radius is None else out.where(F.col("distance") <= radius)
+
+
+def nearest_both(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """nearest(a, b) and nearest(b, a), which share a shuffle where they are part of one plan."""
+    a, b = _finite(a, keys), _finite(b, keys)
+    large = clouds.large_groups(a, b, keys)
+    (p, big_p), (q, big_q) = (clouds.apart(df, keys, large) for df in (a, b))
+    sides = clouds.side_by_side(p, q, keys)
+    forward, backward = _searched(sides, a, b, keys, 0), _searched(sides, b, a, keys, 1)
+    if large:
+        forward, backward = forward.unionByName(nearest_by_grids(big_p, big_q, keys)), backward.unionByName(nearest_by_grids(big_q, big_p, keys))
+    return forward, backward
+
+
+def _searched(sides: DataFrame, queries: DataFrame, points: DataFrame, keys: list[str], asking: int) -> DataFrame:
+    """Neighbours of the rows of one side among those of the other."""
+    types, wide = dict(queries.dtypes), dict(sides.dtypes)["idx"]
+    kept = [*keys, "idx"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in clouds.whole_groups(batches, keys):
+            xyz, second = clouds.coordinates(t), t["side"].to_numpy()
+            ask, at, far, of = [], [], [], []
+            for start, end in zip(starts, starts[1:]):
+                middle = start + int(np.searchsorted(second[start:end], 1))
+                (a, b), (c, d) = ((start, middle), (middle, end))[:: -1 if asking else 1]
+                if a < b and c < d:
+                    which, distance = clouds.near(xyz[a:b], xyz[c:d])
+                    ask.append(np.arange(a, b))
+                    at.append(which + c)
+                    far.append(distance)
+                    of.append(np.full(b - a, start))
+            if not ask:
+                continue
+            ask, at, far, of = map(np.concatenate, (ask, at, far, of))
+            again = clouds.same_as_before(t["idx"].take(pa.array(ask))) & (of[1:] == of[:-1])
+            if again.any():  # rows of one idx count as one query
+                run = np.append(0, np.cumsum(~again))
+                by = np.lexsort((at, far, run))
+                by = by[np.append(True, np.diff(run[by]) > 0)]
+                ask, at, far = ask[by], at[by], far[by]
+            out = t.select(kept).take(pa.array(ask)).append_column("nn", t["idx"].take(pa.array(at))).append_column("distance", pa.array(far))
+            yield from out.combine_chunks().to_batches()
+
+    found = sides.mapInArrow(each, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", idx {wide}, nn {wide}, distance double")
+    return found.select(*keys, F.col("idx").cast(types["idx"]), F.col("nn").cast(dict(points.dtypes)["idx"]), "distance")
+
+
+def nearest_by_grids(queries: DataFrame, points: DataFrame, keys: list[str], cell: float | None = None, radius: float | None = None) -> DataFrame:
+    """As nearest, by joins alone. A grid of cells meets the 27 around a query by an equi-join; a neighbour within one cell's side is
     final. Queries left over meet a grid of twice the side, later of four times, and so on until none is left, so the
     result is exact at any density. The first side is cell, or where that is None what gives a group as many cells as points,
     so that a cell holds few of them; grids of later rounds hold only cells near a query that is left.
-    Ties go to the lesser idx. Queries of groups without points, and queries and
-    points with null or infinite coordinates, give nothing. With a radius, neighbours further away give nothing
-    and aren't looked for.
+    With a radius, neighbours further away aren't looked for.
     """
     space = Workspace(queries.sparkSession, "nearest")
     finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(1e300))

@@ -175,7 +175,7 @@ def _clouds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     gt, pred = _clouds(spark, sf_dir)
-    return nn.nearest(pred, gt, KEYS), nn.nearest(gt, pred, KEYS)
+    return nn.nearest_both(pred, gt, KEYS)
 
 
 def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
