@@ -118,6 +118,23 @@ def test_icp_of_a_group_does_not_depend_on_others(spark):
     assert not np.allclose([alone[i] for i in range(30)], turned, atol=0.05)
 
 
+def test_icp_of_whole_groups_is_that_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    p = {k: rng.uniform(0, 2, (n, 3)) for k, n in (("a", 40), ("b", 600))}
+    schema = "seq string, idx long, x double, y double, z double"
+    target = spark.createDataFrame([(k, i, *map(float, v)) for k in p for i, v in enumerate(p[k])], schema)
+    source = spark.createDataFrame([(k, i, *map(float, v)) for k in p for i, v in enumerate(p[k] * 1.01 + 0.02)] + [("a", 900, None, 1.0, 2.0)], schema)
+    run = lambda: {(r.seq, r.idx): (r.x, r.y, r.z) for r in registration.icp(source, target, ["seq"], 0.3, 4).where("x is not null").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(registration.Workspace, "write", lambda *a, **k: pytest.fail("a table was written"))
+        whole = run()
+        assert registration.icp(source, target, ["seq"], 0.3, 4).count() == 641
+    monkeypatch.setattr(clouds, "WHOLE_ROWS", 10)
+    joined = run()
+    assert set(whole) == set(joined) and len(whole) == 640
+    assert all(np.allclose(whole[i], joined[i], atol=1e-9) for i in whole)
+
+
 def test_icp_leaves_groups_without_neighbours(spark):
     a = spark.createDataFrame([("far", 1, 50.0, 0.0, 0.0), ("none", 1, 0.0, 0.0, 0.0)], "seq string, idx long, x double, y double, z double")
     b = spark.createDataFrame([("far", 1, 0.0, 0.0, 0.0)], a.schema)

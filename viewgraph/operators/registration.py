@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..scale import Workspace
-from .nearest import nearest, nearest_k
+from . import clouds
+from .nearest import _finite, nearest_by_grids, nearest_k
 
 SIM3 = "s double, r array<double>, t array<double>"
 
@@ -71,8 +73,59 @@ def moved(points: DataFrame, fit: DataFrame, keys: list[str], names: tuple[str,
 def icp(source: DataFrame, target: DataFrame, keys: list[str], threshold: float = 0.1, rounds: int = 30, cell: float | None = None, tolerance: float = 1e-6) -> DataFrame:
     """source moved onto target by rigid point-to-point steps: nearest neighbours within the threshold, then
     the least-squares motion. Each group ends for itself, after `rounds` steps or when its own mean distance
-    changes by less than the tolerance, so its result doesn't depend on other groups. Groups without neighbours
-    stay where they are."""
+    changes by less than the tolerance, so its result doesn't depend on other groups. Groups without neighbours, and points
+    without finite coordinates, stay where they are. A task takes whole groups through all steps; those of over
+    clouds.WHOLE_ROWS rows go by joins, a few jobs a step."""
+    own, known = source.select(*keys, "idx", "x", "y", "z"), target.select(*keys, "idx", "x", "y", "z")
+    for c in keys:
+        known = known.where(F.col(c).isNotNull())
+    large = clouds.large_groups(own, known, keys)
+    (a, big_a), (b, big_b) = (clouds.apart(df, keys, large) for df in (own, known))
+    sides = clouds.side_by_side(a, b, keys)
+    types, wide = dict(own.dtypes), dict(sides.dtypes)["idx"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in clouds.whole_groups(batches, keys):
+            xyz, first = clouds.coordinates(t), t["side"].to_numpy() == 0
+            null = {c: t[c].is_null().to_numpy() for c in "xyz"}
+            for start, end in zip(starts, starts[1:]):
+                middle = start + int(first[start:end].sum())
+                xyz[start:middle] = _settled(xyz[start:middle], xyz[middle:end], threshold, rounds, tolerance)
+            out = t.select([*keys, "idx"])
+            for i, c in enumerate("xyz"):
+                out = out.append_column(c, pa.array(xyz[:, i], mask=null[c]))
+            yield from out.filter(pa.array(first)).combine_chunks().to_batches()
+
+    done = sides.mapInArrow(each, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", idx {wide}, x double, y double, z double")
+    done = done.withColumn("idx", F.col("idx").cast(types["idx"]))
+    return done.unionByName(_icp_by_joins(big_a, big_b, keys, threshold, rounds, cell, tolerance)) if large else done
+
+
+def _settled(source: np.ndarray, target: np.ndarray, threshold: float, rounds: int, tolerance: float) -> np.ndarray:
+    """icp of one group's coordinates."""
+    whole = lambda p: (np.abs(p) < 1e300).all(1)
+    rest, target = whole(source), target[whole(target)]
+    x, before = source[rest], np.inf
+    if not len(x) or not len(target):
+        return source
+    tree = clouds.Tree(target) if len(x) * len(target) > 250_000 else None
+    for _ in range(rounds):
+        at, d = clouds.near(x, target, tree)
+        ok = d <= threshold
+        if not ok.any():
+            break
+        mean = d[ok].mean()
+        if abs(before - mean) < tolerance:
+            break
+        _, r, t = fit_similarity(x[ok], target[at[ok]], scaled=False)
+        x, before = x @ r.T + t, mean
+    out = source.copy()
+    out[rest] = x
+    return out
+
+
+def _icp_by_joins(source: DataFrame, target: DataFrame, keys: list[str], threshold: float, rounds: int, cell: float | None, tolerance: float) -> DataFrame:
+    """icp of groups too large for one task."""
     space = Workspace(source.sparkSession, "icp")
     start = source.select(*keys, "idx", "x", "y", "z", F.lit(None).cast("double").alias("before"), F.lit(False).alias("settled"))
     moving = F.count_if(~F.col("settled"))
@@ -82,7 +135,7 @@ def icp(source: DataFrame, target: DataFrame, keys: list[str], threshold: float
         if not now.mark:
             break
         rest = now.df.where(~F.col("settled"))
-        near = nearest(rest, target, keys, cell or threshold, radius=threshold).where(F.col("distance") <= threshold)
+        near = nearest_by_grids(_finite(rest, keys), _finite(target, keys), keys, cell or threshold, radius=threshold).where(F.col("distance") <= threshold)
         means = near.groupBy(*keys).agg(F.avg("distance").alias("mean"))
         near = near.join(rest, [*keys, "idx"]).join(target.select(*keys, F.col("idx").alias("nn"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w")), [*keys, "nn"])
         fit = means.join(similarity(near, keys, scaled=False), keys)
@@ -158,13 +211,13 @@ def _nn(a: np.ndarray, b: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np
     return at, d
 
 
-def fit_similarity(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_similarity(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, scaled: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
     """Weighted least-squares Sim(3) of arrays (n, 3)."""
     w = np.ones(len(x)) if w is None else w
     m = {"n": w.sum(), "s_xx": (w * (x * x).sum(1)).sum()}
     m |= {f"s_{c}": (w * x[:, i]).sum() for i, c in enumerate("xyz")} | {f"s_{c}": (w * y[:, i]).sum() for i, c in enumerate("uvw")}
     m |= {f"s_{a}{b}": (w * y[:, i] * x[:, j]).sum() for i, a in enumerate("uvw") for j, b in enumerate("xyz")}
-    return solve(m)
+    return solve(m, scaled)
 
 
 def robust_similarity(x: np.ndarray, y: np.ndarray, rounds: int = 20, radius: float | None = None, delta: float = 0.1) -> tuple[float, np.ndarray, np.ndarray]:
