@@ -169,3 +169,21 @@ def test_many_databases(spark, tmp_path):
     assert back.count() == 4 and back.select("path").distinct().count() == 2
     assert back.where("image_id > 1 and path is not null").count() == 2
     assert db.read(spark, str(tmp_path / "*.none"), "images").collect() == []
+
+
+def test_small_databases_share_partitions_that_the_driver_does_not_open(tmp_path, monkeypatch):
+    for i in range(300):
+        con = db.create(str(tmp_path / f"d{i:03}.db"), flushed=False)
+        with con:
+            con.executemany("INSERT INTO images (image_id, name, camera_id) VALUES (?, ?, 1)", [(k, f"n{k}") for k in range(1, 3 + i % 3)])
+        con.close()
+    reader = db.Reader(f"{tmp_path}/*.db", "images", ["image_id", "name"], 2)
+    with monkeypatch.context() as m:
+        m.setattr(db.Reader, "_open", lambda *a: pytest.fail("opened by the driver"))
+        parts = reader.partitions()
+    assert 60 <= len(parts) <= 150
+    rows = [r for p in parts for r in reader.read(p)]
+    assert len(rows) == len(set(rows)) == 900
+    monkeypatch.setattr(db, "LARGE_BYTES", 1)
+    monkeypatch.setattr(db, "PACKS", 10**9)
+    assert sorted(r for p in reader.partitions() for r in reader.read(p)) == sorted(rows)

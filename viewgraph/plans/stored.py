@@ -37,9 +37,10 @@ def _of_path(path: Column, last: int) -> list[Column]:
 
 def _done(written: DataFrame) -> None:
     """Runs a sink, and stops at its first error."""
-    bad = written.where("error is not null").limit(1).collect() if "error" in written.columns else []
+    # An aggregate runs all tasks at once; limit would run a few of them, then more and more.
+    bad = written.where("error is not null").agg(F.min(F.struct("path", "error")).alias("b")).first()["b"] if "error" in written.columns else None
     if bad:
-        raise OSError(f"{bad[0]['path']}: {bad[0]['error']}")
+        raise OSError(f"{bad['path']}: {bad['error']}")
     if "error" not in written.columns:
         written.write.format("noop").mode("overwrite").save()
 

@@ -36,6 +36,8 @@ SCHEMAS = {
     "matches": "pair_id long, rows long, cols long, data binary",
     "two_view_geometries": "pair_id long, rows long, cols long, data binary, config long, F binary, E binary, H binary",
 }
+#: Small files of a pattern are read together, in at least so many partitions if there are as many, of up to so many bytes; larger files are parted.
+PACKS, PACK_BYTES, LARGE_BYTES = 64, 64 << 20, 8 << 20
 
 
 class Source(DataSource):
@@ -59,9 +61,11 @@ class Source(DataSource):
         return Reader(self.options["path"], self.options["table"], self._columns(), int(self.options.get("parts", "1")))
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, low: int, high: int):
-        self.path, self.low, self.high = path, low, high
+class Pieces(InputPartition):
+    """(path, k, n): the k-th of n ranges of rowid of a file."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces = pieces
 
 
 class Reader(DataSourceReader):
@@ -86,27 +90,37 @@ class Reader(DataSourceReader):
     def _open(self, path: str) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
 
-    def partitions(self) -> list[Range]:
-        out = []
-        for path in sorted(glob(self.path)) if "*" in self.path else [self.path]:
+    def partitions(self) -> list[Pieces]:
+        """The driver opens no file. Of a pattern, small files share a partition, and only large ones are parted."""
+        if "*" not in self.path:
+            return [Pieces([(self.path, k, self.parts)]) for k in range(self.parts)]
+        sizes = {path: os.path.getsize(path) for path in sorted(glob(self.path))}
+        most = min(PACK_BYTES, sum(sizes.values()) // PACKS + 1)
+        out, room = [], 0
+        for path, size in sizes.items():
+            if size > max(most, LARGE_BYTES):
+                out += [Pieces([(path, k, self.parts)]) for k in range(self.parts)]
+                room = 0
+            elif size <= room:
+                out[-1].pieces.append((path, 0, 1))
+                room -= size
+            else:
+                out.append(Pieces([(path, 0, 1)]))
+                room = most - size
+        return out or [Pieces([])]
+
+    def read(self, partition: Pieces) -> Iterator[tuple]:
+        names = ", ".join(f'"{c}"' for c in self.columns)
+        where = " AND ".join(["rowid BETWEEN ? AND ?", *self.where])
+        for path, k, n in partition.pieces:
             con = self._open(path)
             low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-            con.close()
             if low is not None:
-                step = max(1, -(-(high - low + 1) // self.parts))
-                out += [Range(path, a, min(high, a + step - 1)) for a in range(low, high + 1, step)]
-        return out or [Range("", 0, -1)]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        con = self._open(partition.path)
-        names = ", ".join(f'"{c}"' for c in self.columns)
-        where = " AND ".join(["rowid BETWEEN ? AND ?", *self.where])
-        more = (partition.path,) if "*" in self.path else ()
-        for row in con.execute(f'SELECT {names} FROM "{self.table}" WHERE {where}', [partition.low, partition.high, *self.values]):
-            yield (*row, *more)
-        con.close()
+                step = -(-(high - low + 1) // n)
+                more = (path,) if "*" in self.path else ()
+                for row in con.execute(f'SELECT {names} FROM "{self.table}" WHERE {where}', [low + k * step, min(high, low + (k + 1) * step - 1), *self.values]):
+                    yield (*row, *more)
+            con.close()
 
 
 def read(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, parts: int = 1) -> DataFrame:
@@ -155,11 +169,17 @@ def match_pairs(data: Column) -> Column:
     return F.pandas_udf(decode, "array<struct<i: long, j: long>>")(data)
 
 
-def create(path: str) -> sqlite3.Connection:
+def create(path: str, flushed: bool = True) -> sqlite3.Connection:
+    """A database with its tables, made in one transaction. flushed=False leaves it to the system when bytes reach the disk, as
+    other sinks do; a task that dies still leaves a database whole."""
     con = sqlite3.connect(path)
-    for table, columns in DDL.items():
-        con.execute(f"CREATE TABLE IF NOT EXISTS {table} ({columns})")
-    con.execute("CREATE UNIQUE INDEX IF NOT EXISTS index_name ON images(name)")
+    if not flushed:
+        con.execute("PRAGMA synchronous = OFF")
+    with con:
+        con.execute("BEGIN")
+        for table, columns in DDL.items():
+            con.execute(f"CREATE TABLE IF NOT EXISTS {table} ({columns})")
+        con.execute("CREATE UNIQUE INDEX IF NOT EXISTS index_name ON images(name)")
     return con
 
 
@@ -172,7 +192,7 @@ def write_databases(df: DataFrame, path: str, table: str) -> DataFrame:
     def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             os.makedirs(os.path.dirname(key[0]), exist_ok=True)
-            con = create(key[0])
+            con = create(key[0], flushed=False)
             with con:
                 con.executemany(sql, pdf[names].astype(object).where(pdf[names].notna(), None).itertuples(index=False, name=None))
             con.close()
