@@ -48,7 +48,7 @@ def test_nearest_needs_no_cell_and_takes_dense_and_distant_points(spark):
     assert near == {i for i in range(len(a)) if d[i].min() <= 0.7}
 
 
-@pytest.mark.parametrize("name", ["cloud_accuracy", "mutual_points"])
+@pytest.mark.parametrize("name", ["cloud_accuracy", "mutual_points", "normal_consistency"])
 def test_clouds_are_compared_without_tables_or_broadcasts_of_points(spark, folder, monkeypatch, name):
     made = []
     write, broadcast = nearest.Workspace.write, nearest.F.broadcast
