@@ -76,6 +76,40 @@ def test_large_and_small_groups_give_the_same_neighbours(spark, monkeypatch):
         assert w == {(r.k, r.idx_x): (r.idx_y, r.d) for r in first.itertuples()}
 
 
+def test_mutual_points_are_paired_without_joins_or_folds(spark, folder):
+    out = registry.queries()["mutual_points"](spark, folder[0])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
+    assert out.count() > 0
+
+
+def test_mutual_neighbours_are_those_of_both_directions(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = lambda n, groups, m: [(k, i % m, *map(float, v)) for k in groups for i, v in enumerate(rng.integers(0, 6, (n, 3)))]
+    schema = "k string, idx long, x double, y double, z double"
+    a = spark.createDataFrame([*rows(120, "ab", 97), *rows(20, "c", 30), *rows(700, "f", 900), ("d", 1, 0.0, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0), ("g", None, 0.0, 0.0, 0.0), ("g", 1, 9.0, 9.0, 9.0)], schema)
+    b = spark.createDataFrame([*rows(110, "ab", 97), *rows(10, "c", 30), *rows(600, "f", 900), ("e", 1, 0.0, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0), ("g", 5, 0.0, 0.0, 0.0), ("g", 6, 9.0, 9.0, 8.0)], schema)
+    got = lambda df: sorted((r.k, r.a, r.b, r.distance) for r in df.collect())
+    want = got(nearest.mutual(*nearest.nearest_both(a, b, ["k"]), ["k"]))
+    mutual = lambda radius=None: got(nearest.nearest_mutual(a, b, ["k"], radius))
+    assert {r[0] for r in want} == set("abcfg") and mutual() == want
+    assert mutual(1.0) == [r for r in want if r[3] <= 1] != want
+    repeated = nearest.nearest_mutual(a.unionAll(a), b.unionAll(b), ["k"])
+    assert got(repeated) == want
+    monkeypatch.setattr(clouds, "WHOLE_ROWS", 100)
+    assert mutual() == want
+
+
+def test_both_directions_share_distances(spark):
+    rng = np.random.default_rng(10)
+    for n, m in ((1, 1), (1, 300), (300, 1), (90, 80), (450, 500), (600, 700)):
+        p, q = (rng.integers(0, 5, (k, 3)).astype(float) for k in (n, m))
+        for got, want in zip(clouds.near_both(p, q), (clouds.near(p, q), clouds.near(q, p))):
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    far = np.array([[1e200, 0, 0], [-1e200, 0, 0]])
+    assert [x.tolist() for x in clouds.near_both(far, far[::-1])[1]] == [[1, 0], [0.0, 0.0]]
+
+
 def test_the_tree_is_exact_for_ties_dense_and_distant_points():
     rng = np.random.default_rng(7)
     p = np.concatenate([rng.integers(0, 6, (900, 3)), rng.normal(size=(300, 3)) * 1e-6, [[1e9, 0, 0]], np.zeros((400, 3))]).astype(float)

@@ -68,6 +68,14 @@ def same_as_before(c: pa.ChunkedArray) -> np.ndarray:
     return pc.fill_null(pc.equal(a, b), False).to_numpy() | (pc.is_null(a).to_numpy() & pc.is_null(b).to_numpy())
 
 
+def numbered(t: pa.Table, starts: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows of one idx in one side of a group, of a table as side_by_side has it."""
+    side = t["side"].to_numpy()
+    new = np.append(True, ~same_as_before(t["idx"]) | (side[1:] != side[:-1]))
+    new[starts[:-1]] = True
+    return np.cumsum(new) - 1
+
+
 def coordinates(t: pa.Table) -> np.ndarray:
     """(rows, 3), with NaN for null."""
     return np.column_stack([t[c].to_numpy() for c in "xyz"]).astype(float, copy=False)
@@ -97,6 +105,25 @@ def near(q: np.ndarray, p: np.ndarray, tree: Tree | None = None) -> tuple[np.nda
         return at, d
 
 
+def near_both(p: np.ndarray, q: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """near(p, q) and near(q, p), of neither empty, which share their distances."""
+    if len(p) * len(q) > 250_000:
+        return near(p, q), near(q, p)
+    with np.errstate(over="ignore"):
+        at, d = np.empty(len(p), np.int64), np.empty(len(p))
+        back, far = np.zeros(len(q), np.int64), np.full(len(q), np.inf)
+        step, columns = max(1, 32_768 // len(q)), np.arange(len(q))
+        for i in range(0, len(p), step):
+            every = _distances(p[i : i + step], q)
+            at[i : i + step] = best = every.argmin(1)
+            d[i : i + step] = every[np.arange(len(best)), best]
+            best = every.argmin(0)
+            less = every[best, columns]
+            better = less < far
+            back[better], far[better] = best[better] + i, less[better]
+        return (at, d), (back, far)
+
+
 class Tree:
     """Points in boxes, halved at the median of the longest side, so dense and far-off ones cost no more than others."""
 

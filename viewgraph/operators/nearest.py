@@ -60,7 +60,7 @@ def _searched(sides: DataFrame, queries: DataFrame, points: DataFrame, keys: lis
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in clouds.whole_groups(batches, keys):
             xyz, second = clouds.coordinates(t), t["side"].to_numpy()
-            ask, at, far, of = [], [], [], []
+            ask, at, far = [], [], []
             for start, end in zip(starts, starts[1:]):
                 middle = start + int(np.searchsorted(second[start:end], 1))
                 (a, b), (c, d) = ((start, middle), (middle, end))[:: -1 if asking else 1]
@@ -69,16 +69,9 @@ def _searched(sides: DataFrame, queries: DataFrame, points: DataFrame, keys: lis
                     ask.append(np.arange(a, b))
                     at.append(which + c)
                     far.append(distance)
-                    of.append(np.full(b - a, start))
             if not ask:
                 continue
-            ask, at, far, of = map(np.concatenate, (ask, at, far, of))
-            again = clouds.same_as_before(t["idx"].take(pa.array(ask))) & (of[1:] == of[:-1])
-            if again.any():  # rows of one idx count as one query
-                run = np.append(0, np.cumsum(~again))
-                by = np.lexsort((at, far, run))
-                by = by[np.append(True, np.diff(run[by]) > 0)]
-                ask, at, far = ask[by], at[by], far[by]
+            ask, at, far = _once(clouds.numbered(t, starts), *map(np.concatenate, (ask, at, far)))
             out = t.select(kept).take(pa.array(ask)).append_column("nn", t["idx"].take(pa.array(at))).append_column("distance", pa.array(far))
             yield from out.combine_chunks().to_batches()
 
@@ -86,6 +79,57 @@ def _searched(sides: DataFrame, queries: DataFrame, points: DataFrame, keys: lis
     return found.select(*keys, F.col("idx").cast(types["idx"]), F.col("nn").cast(dict(points.dtypes)["idx"]), "distance")
 
 
+def _once(number: np.ndarray, ask: np.ndarray, at: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One answer for each number that asks: rows of one idx count as one query."""
+    run = number[ask]
+    if (run[1:] == run[:-1]).any():
+        by = np.lexsort((at, far, run))
+        by = by[np.append(True, np.diff(run[by]) > 0)]
+        ask, at, far = ask[by], at[by], far[by]
+    return ask, at, far
+
+
+def nearest_mutual(a: DataFrame, b: DataFrame, keys: list[str], radius: float | None = None) -> DataFrame:
+    """mutual() of nearest_both(a, b), without a join: the task that has a group whole finds both directions and keeps their pairs.
+    Only groups of over clouds.WHOLE_ROWS rows are searched and paired by joins."""
+    a, b = _finite(a, keys), _finite(b, keys)
+    large = clouds.large_groups(a, b, keys)
+    (p, big_p), (q, big_q) = (clouds.apart(df, keys, large) for df in (a, b))
+    out = _paired(clouds.side_by_side(p, q, keys), a, b, keys)
+    if large:
+        out = out.unionByName(mutual(nearest_by_grids(big_p, big_q, keys), nearest_by_grids(big_q, big_p, keys), keys))
+    return out if radius is None else out.where(F.col("distance") <= radius)
+
+
+def _paired(sides: DataFrame, queries: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b, distance of the rows of both sides that are nearest to each other."""
+    types, wide = dict(queries.dtypes), dict(sides.dtypes)["idx"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in clouds.whole_groups(batches, keys):
+            xyz, second = clouds.coordinates(t), t["side"].to_numpy()
+            number, found = clouds.numbered(t, starts), ([], [])
+            for start, end in zip(starts, starts[1:]):
+                middle = start + int(np.searchsorted(second[start:end], 1))
+                if start < middle < end:
+                    there, back = clouds.near_both(xyz[start:middle], xyz[middle:end])
+                    found[0].append((np.arange(start, middle), there[0] + middle, there[1]))
+                    found[1].append((np.arange(middle, end), back[0] + start, back[1]))
+            if not found[0]:
+                continue
+            (ask, at, far), (back_ask, back_at, _) = (_once(number, *map(np.concatenate, zip(*f))) for f in found)
+            chosen = np.full(number[-1] + 1, -1)
+            chosen[number[back_ask]] = number[back_at]
+            both = chosen[number[at]] == number[ask]
+            ask, at, far = ask[both], at[both], far[both]
+            out = t.select(keys).take(pa.array(ask)).append_column("a", t["idx"].take(pa.array(ask))).append_column("b", t["idx"].take(pa.array(at)))
+            yield from out.append_column("distance", pa.array(far)).combine_chunks().to_batches()
+
+    found = sides.mapInArrow(each, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", a {wide}, b {wide}, distance double")
+    found = found.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return found.select(*keys, F.col("a").cast(types["idx"]), F.col("b").cast(dict(points.dtypes)["idx"]), "distance")
+
+
 def nearest_by_grids(queries: DataFrame, points: DataFrame, keys: list[str], cell: float | None = None, radius: float | None = None) -> DataFrame:
     """As nearest, by joins alone. A grid of cells meets the 27 around a query by an equi-join; a neighbour within one cell's side is
     final. Queries left over meet a grid of twice the side, later of four times, and so on until none is left, so the

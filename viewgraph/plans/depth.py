@@ -163,9 +163,11 @@ def aligned_depth_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Clouds
 
 
-def _clouds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The true cloud and a predicted one: every point, a little larger, shifted, and off by up to 0.05, as its id has it."""
-    rows = table(spark, sf_dir, "point3d").select(*KEYS, F.col("point3d_id").alias("idx"), "xyz").distinct()
+def _clouds(spark: SparkSession, sf_dir: str, repeated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The true cloud and a predicted one: every point, a little larger, shifted, and off by up to 0.05, as its id has it.
+    repeated: with repeated rows as they are, for operators in which they change nothing."""
+    rows = table(spark, sf_dir, "point3d").select(*KEYS, F.col("point3d_id").alias("idx"), "xyz")
+    rows = rows if repeated else rows.distinct()
     x, y, z = (F.get("xyz", F.lit(i)) for i in range(3))
     off = lambda n: ((F.col("idx") * n) % 101) / 1000 - 0.05
     gt = rows.select(*KEYS, "idx", x.alias("x"), y.alias("y"), z.alias("z"))
@@ -190,7 +192,8 @@ def cloud_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutual_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn.mutual(*_neighbours(spark, sf_dir), KEYS, 0.5).select(*KEYS, "a", "b", F.round("distance", 6).alias("distance"))
+    gt, pred = _clouds(spark, sf_dir, repeated=True)  # rows of one idx are one query there, so nothing is shuffled to fold them
+    return nn.nearest_mutual(pred, gt, KEYS, 0.5).select(*KEYS, "a", "b", F.round("distance", 6).alias("distance"))
 
 
 def voxel_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
