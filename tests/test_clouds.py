@@ -110,6 +110,16 @@ def test_both_directions_share_distances(spark):
     assert [x.tolist() for x in clouds.near_both(far, far[::-1])[1]] == [[1, 0], [0.0, 0.0]]
 
 
+@pytest.mark.parametrize("name", ["cloud_accuracy", "normal_consistency"])
+def test_summaries_of_clouds_shuffle_no_points_to_fold_repeated_rows(spark, folder, tmp_path, name):
+    out = registry.queries()[name](spark, folder[0])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and ("xyz" in line or "idx" in line)]
+    rows = spark.read.parquet(f"{folder[0]}/point3d.parquet")
+    rows.unionAll(rows.where("point3d_id % 3 = 0")).write.parquet(str(tmp_path / "point3d.parquet"))
+    assert sorted(registry.queries()[name](spark, str(tmp_path)).collect()) == sorted(out.collect())
+
+
 def test_the_tree_is_exact_for_ties_dense_and_distant_points():
     rng = np.random.default_rng(7)
     p = np.concatenate([rng.integers(0, 6, (900, 3)), rng.normal(size=(300, 3)) * 1e-6, [[1e9, 0, 0]], np.zeros((400, 3))]).astype(float)

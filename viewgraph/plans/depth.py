@@ -176,7 +176,7 @@ def _clouds(spark: SparkSession, sf_dir: str, repeated: bool = False) -> tuple[D
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    gt, pred = _clouds(spark, sf_dir)
+    gt, pred = _clouds(spark, sf_dir, repeated=True)
     return nn.nearest_both(pred, gt, KEYS)
 
 
